@@ -48,58 +48,40 @@ ABBREVIATIONS = {
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?([ap])\.?m\.?)?(?: uhr)?"
 _ZONE = r"(?: ?([a-z]{1,5})| ?\(?(?:utc|gmt)? ?([+-])(\d{1,2}):?(\d{2})?\)?)?"
-_NOTE = r"(?: ?\([a-z]{1,5}\)| ?\[([a-z_]+(?:/[a-z_+\-0-9]+)*)\])?"
+_NOTE = r"(?: ?\([a-z]{1,5}\)| ?\[[a-z_]+(?:/[a-z_+\-0-9]+)*\])?"
 _TAIL = _TIME + _ZONE + _NOTE + "$"
 _WEEKDAY = r"(?:\p{L}{2,9}\.?,? )?"
+_FIELDS = ["year", "month", "name", "day", "first", "second_number", "hour", "minute", "second", "fraction", "half", "abbreviation", "sign", "zone_hour", "zone_minute"]
+_CLOCK = _FIELDS[6:]
 
-#: name, anchored pattern, then the groups of: year, month number, month name, day, first number, second number, time of day.
-#: The patterns run on lower-cased text with single spaces.
+#: An anchored pattern and the group of each field; the clock and zone fields are the nine groups from ``hour`` on.
+#: The patterns run on lower-cased text with single spaces, in this order, and the first that matches decides.
 PATTERNS = [
-    ("iso", r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:t|,? )" + _TAIL, dict(year=1, month=2, day=3, time=4)),
-    ("year_first", r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2}),? " + _TAIL, dict(year=1, month=2, day=3, time=4)),
-    ("numeric", r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4}),? " + _TAIL, dict(first=1, second=3, year=4, time=5)),
-    ("day_name", "^" + _WEEKDAY + r"(\d{1,2})\.?(?: de |[ -])(\p{L}{3,10})\.?(?: de |[ -])(\d{4}|\d{2}),? " + _TAIL, dict(day=1, name=2, year=3, time=4)),
-    ("name_day", "^" + _WEEKDAY + r"(\p{L}{3,10})\.? (\d{1,2}),? (\d{4}),? " + _TAIL, dict(name=1, day=2, year=3, time=4)),
-    ("ctime", r"^\p{L}{2,4}\.? (\p{L}{3,4}) (\d{1,2}) " + _TIME + r"(?: ([a-z]{1,5})| ([+-])(\d{2}):?(\d{2}))? (\d{4})$", dict(name=1, day=2, time=3, year=12)),
-    ("compact", r"^(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})(?:([a-z]{1,5})|([+-])(\d{2}):?(\d{2}))?$", dict(year=1, month=2, day=3, compact=4)),
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:t|,? )" + _TAIL, dict(year=1, month=2, day=3, hour=4)),
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2}),? " + _TAIL, dict(year=1, month=2, day=3, hour=4)),
+    (r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4}),? " + _TAIL, dict(first=1, second_number=3, year=4, hour=5)),
+    ("^" + _WEEKDAY + r"(\d{1,2})\.?(?: de |[ -])(\p{L}{3,10})\.?(?: de |[ -])(\d{4}|\d{2}),? " + _TAIL, dict(day=1, name=2, year=3, hour=4)),
+    ("^" + _WEEKDAY + r"(\p{L}{3,10})\.? (\d{1,2}),? (\d{4}),? " + _TAIL, dict(name=1, day=2, year=3, hour=4)),
+    (r"^\p{L}{2,4}\.? (\p{L}{3,4}) (\d{1,2}) " + _TIME + r"(?: ([a-z]{1,5})| ([+-])(\d{2}):?(\d{2}))? (\d{4})$", dict(name=1, day=2, hour=3, year=12)),
+    (r"^(\d{4})(\d{2})(\d{2})t?(\d{2})(\d{2})(\d{2})()()(?:([a-z]{1,5})|([+-])(\d{2}):?(\d{2}))?$", dict(year=1, month=2, day=3, hour=4)),
 ]
 _EPOCH = r"^\d{1,18}(?:\.\d{1,6})?$"
 EPOCH_FROM_US, EPOCH_TO_US = 1_577_836_800_000_000, 1_798_761_600_000_000  # 2020-01-01 to 2027-01-01
 
 
-
-def _number(text: Column) -> Column:
-    return F.when(text != "", text).try_cast("int")
-
-
 def _month_of(name: Column) -> Column:
     pairs = [x for number, names in MONTHS.items() for n in names.split() for x in (F.lit(n), F.lit(number))]
     return F.try_element_at(F.create_map(*pairs), name)
 
 
-def _parsed(text: Column, month_first: Column) -> Column:
-    """Struct of the fields of the first pattern that matches, null where none does."""
-    chain = None
-    for name, pattern, at in PATTERNS:
-        g = lambda i, p=pattern: F.regexp_extract(text, p, i)
-        t = at.get("time") or at["compact"]
-        compact = "compact" in at
-        fields = {
-            "pattern": F.lit(name),
-            "year": _number(g(at["year"])),
-            "month": _number(g(at["month"])) if "month" in at else _month_of(g(at["name"])) if "name" in at else F.when(month_first, _number(g(at["first"]))).when(~month_first, _number(g(at["second"]))),
-            "day": _number(g(at["day"])) if "day" in at else F.when(month_first, _number(g(at["second"]))).when(~month_first, _number(g(at["first"]))),
-            "hour": _number(g(t)),
-            "minute": _number(g(t + 1)),
-            "second": F.coalesce(_number(g(t + 2)), F.lit(0)),
-            "fraction": F.lit("") if compact else g(t + 3),
-            "half": F.lit("") if compact else g(t + 4),
-        }
-        z = t + 3 if compact else t + 5
-        fields |= {"abbreviation": F.upper(g(z)), "sign": g(z + 1), "zone_hour": _number(g(z + 2)), "zone_minute": F.coalesce(_number(g(z + 3)), F.lit(0)), "region": F.lit("") if compact or name == "ctime" else g(z + 4)}
-        value = F.struct(*(v.alias(k) for k, v in fields.items()))
-        chain = F.when(text.rlike(pattern), value) if chain is None else chain.when(text.rlike(pattern), value)
-    return chain
+def _parsed(text: Column) -> Column:
+    """The fields of the first pattern that matches as an array of texts, empty where it has no such field; null where none matches."""
+    chain = F.when(F.lit(False), F.lit(""))
+    for pattern, at in PATTERNS:
+        groups = {k: v for k, v in at.items() if k != "hour"} | {k: at["hour"] + i for i, k in enumerate(_CLOCK)}
+        rewritten = F.regexp_replace(text, pattern, "|".join(f"${groups[k]}" if k in groups else "" for k in _FIELDS))
+        chain = chain.when(text.rlike(pattern), rewritten)
+    return F.split(chain, r"\|", -1)
 
 
 def _epoch_us(text: Column) -> Column:
@@ -150,58 +132,64 @@ def normalise_instants(
     that the clock showed twice or skipped. Repeated rows get equal results; columns named like
     the outputs are replaced, all others are kept.
     """
-    raw = F.lower(F.trim(F.regexp_replace(F.col(text), r"[\s   ]+", " ")))
-    known = F.col(zone).isin(sorted(available_timezones()))
-    d = df.withColumn("__t", raw).withColumn("__e", _epoch_us(F.col("__t")))
-    d = d.withColumn("__p", _parsed(F.col("__t"), F.coalesce(F.col(locale).endswith("US"), F.lit(False))))
-    p = lambda k: F.col("__p").getField(k)
-
-    year = F.when(p("year") < 100, p("year") + 2000).otherwise(p("year"))
-    date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, p("month"), p("day")), "yyyy-MM-dd")
-    half = p("half")
+    spaced = F.trim(F.regexp_replace(F.col(text), r"\p{Z}+|\s+", " "))
+    d = df.withColumn("__r", F.nullif(F.regexp_extract(spaced, r"\[([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)\]$", 1), F.lit(""))).withColumn("__t", F.lower(spaced))
+    d = d.withColumn("__e", _epoch_us(F.col("__t"))).withColumn("__f", F.when(F.col("__e").isNull(), _parsed(F.col("__t"))))
+    p = lambda k: F.get("__f", F.lit(_FIELDS.index(k)))
+    n = lambda k: p(k).try_cast("int")
+
+    month_first = F.coalesce(F.col(locale).endswith("US"), F.lit(False))
+    year = n("year") + F.when(n("year") < 100, 2000).otherwise(0)
+    numeric = p("first") != ""
+    month = F.when(numeric, F.when(month_first, n("first")).otherwise(n("second_number"))).when(p("month") != "", n("month")).otherwise(_month_of(p("name")))
+    day = F.when(numeric, F.when(month_first, n("second_number")).otherwise(n("first"))).otherwise(n("day"))
+    date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
     hour = (
-        F.when(half == "", F.when(p("hour") < 24, p("hour")))
-        .when((p("hour") < 1) | (p("hour") > 12), F.when((half == "a") & (p("hour") == 0), 0).when((half == "p") & p("hour").between(13, 23), p("hour")))
-        .when(half == "a", p("hour") % 12)
-        .otherwise(p("hour") % 12 + 12)
+        F.when(p("half") == "", F.when(n("hour") < 24, n("hour")))
+        .when(n("hour").between(1, 12), n("hour") % 12 + F.when(p("half") == "p", 12).otherwise(0))
+        .when((p("half") == "a") & (n("hour") == 0), 0)
+        .when((p("half") == "p") & n("hour").between(13, 23), n("hour"))
     )
-    second_us = p("second").cast("bigint") * 1_000_000 + F.rpad(p("fraction"), 6, "0").cast("string").try_cast("bigint")
-    fields_ok = date.isNotNull() & hour.isNotNull() & (p("minute") < 60) & (p("second") < 60)
-    local_us = F.when(fields_ok, F.datediff(date, F.lit("1970-01-01").cast("date")).cast("bigint") * DAY_US + hour.cast("bigint") * HOUR_US + p("minute").cast("bigint") * 60_000_000 + second_us)
-
-    by_zone = [(prefix, name, minutes) for (prefix, name), minutes in sorted(ABBREVIATIONS.items(), reverse=True) if prefix]
-    anywhere = F.create_map(*(F.lit(x) for (prefix, name), minutes in ABBREVIATIONS.items() if not prefix for x in (name, minutes)))
-    named = reduce(lambda c, x: c.when((p("abbreviation") == x[1]) & F.col(zone).startswith(x[0]), F.lit(x[2])), by_zone[1:], F.when((p("abbreviation") == by_zone[0][1]) & F.col(zone).startswith(by_zone[0][0]), F.lit(by_zone[0][2])))
-    signed = F.when(p("sign") != "", F.when((p("zone_hour") <= 14) & (p("zone_minute") < 60), (p("zone_hour") * 60 + p("zone_minute")) * F.when(p("sign") == "-", -1).otherwise(1)))
+    minute = F.when(n("minute") < 60, n("minute"))
+    second = F.when(p("second") == "", 0).when(n("second") < 60, n("second"))
+    fraction = F.rpad(p("fraction"), 6, "0").try_cast("bigint")
+    local_us = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("bigint") * DAY_US + hour.cast("bigint") * HOUR_US + minute.cast("bigint") * 60_000_000 + second.cast("bigint") * 1_000_000 + fraction
+
+    named = F.when(F.lit(False), F.lit(0))
+    for (prefix, name), minutes in sorted(ABBREVIATIONS.items(), reverse=True):
+        if prefix:
+            named = named.when((p("abbreviation") == name.lower()) & F.col(zone).startswith(prefix), F.lit(minutes))
+    anywhere = F.create_map(*(F.lit(x) for (prefix, name), minutes in ABBREVIATIONS.items() if not prefix for x in (name.lower(), minutes)))
+    zone_minute = F.when(p("zone_minute") == "", 0).when(n("zone_minute") < 60, n("zone_minute"))
+    signed = F.when((p("sign") != "") & (n("zone_hour") <= 14), (n("zone_hour") * 60 + zone_minute) * F.when(p("sign") == "-", -1).otherwise(1))
     has_zone = (p("abbreviation") != "") | (p("sign") != "")
     offset_min = F.coalesce(signed, named, F.try_element_at(anywhere, p("abbreviation")))
-    region = F.create_map(*(F.lit(x) for z in sorted(available_timezones()) for x in (z.lower(), z)))
-    own_zone = F.when(p("region") != "", F.try_element_at(region, p("region"))).when(known, F.col(zone))
+    own_zone = F.coalesce("__r", F.col(zone))
 
-    d = d.withColumn("__local", local_us).withColumn("__has_zone", has_zone).withColumn("__offset", offset_min.cast("bigint") * 60_000_000)
-    d = d.withColumn("__zone", F.when(~F.col("__has_zone"), own_zone))
+    d = d.select("*", local_us.alias("__local"), has_zone.alias("__has_zone"), (offset_min.cast("bigint") * 60_000_000).alias("__offset"), own_zone.alias("__own"), (p("sign") != "").alias("__signed"))
+    d = d.withColumn("__zone", F.when(~F.col("__has_zone") & F.col("__own").isin(sorted(available_timezones())), F.col("__own")))
     d = d.withColumn("__c", F.when(F.col("__zone").isNotNull() & F.col("__local").isNotNull(), local_candidates(F.col("__local"), F.col("__zone"))))
 
-    n = F.size("__c")
+    size = F.size("__c")
     pick = {"reject": F.lit(None).cast("bigint"), "earlier": F.get("__c", F.lit(0)), "later": F.get("__c", F.lit(1))}[ambiguous]
     gap = {"reject": F.lit(None).cast("bigint"), "forward": F.col("__local") - _offset_us(F.col("__local") - DAY_US, F.col("__zone"))}[nonexistent]
     value = (
         F.when(F.col("__e").isNotNull(), F.col("__e"))
         .when(F.col("__has_zone"), F.col("__local") - F.col("__offset"))
-        .when(n == 1, F.get("__c", F.lit(0)))
-        .when(n == 2, pick)
-        .when(n == 0, gap)
+        .when(size == 1, F.get("__c", F.lit(0)))
+        .when(size == 2, pick)
+        .when(size == 0, gap)
     )
     said = (
         F.when(F.coalesce(F.col("__t"), F.lit("")) == "", "empty")
         .when(F.col("__e").isNotNull(), "epoch")
-        .when(F.col("__p").isNull(), "unparsed")
-        .when(F.col("__local").isNull() | (F.col("__has_zone") & (p("sign") != "") & F.col("__offset").isNull()), "impossible")
+        .when(F.col("__f").isNull(), "unparsed")
+        .when(F.col("__local").isNull() | (F.col("__signed") & F.col("__offset").isNull()), "impossible")
         .when(F.col("__has_zone") & F.col("__offset").isNull(), "no_zone")
         .when(F.col("__has_zone"), "ok")
         .when(F.col("__zone").isNull(), "no_zone")
-        .when(n == 2, "ambiguous")
-        .when(n == 0, "nonexistent")
+        .when(size == 2, "ambiguous")
+        .when(size == 0, "nonexistent")
         .otherwise("ok")
     )
     keep = [c for c in df.columns if c not in (instant, status)]
@@ -217,6 +205,7 @@ def message_instants(messages: DataFrame, mailboxes: DataFrame, **policy: str) -
     """
     boxes = mailboxes.where("mailbox_id is not null").groupBy("mailbox_id").agg(F.min_by("tz_name", F.struct("tz_name", "locale")).alias("tz_name"), F.min_by("locale", F.struct("tz_name", "locale")).alias("locale"))
     narrow = messages.select("msg_id", "mailbox_id", "date_raw").where("msg_id is not null")
-    once = narrow.groupBy("msg_id").agg(F.min(F.struct("mailbox_id", "date_raw")).alias("m")).select("msg_id", "m.mailbox_id", "m.date_raw")
-    joined = once.join(boxes, "mailbox_id", "left")
-    return normalise_instants(joined, "date_raw", "tz_name", "locale", **policy).select("msg_id", "date_raw", "instant_us", "instant_status")
+    each = normalise_instants(narrow.join(boxes, "mailbox_id", "left"), "date_raw", "tz_name", "locale", **policy)
+    # folded last: a filter on the result then stays above the aggregate instead of being rewritten into the scan as a copy of the whole cascade
+    once = each.groupBy("msg_id").agg(F.min(F.struct("date_raw", "mailbox_id", "instant_us", "instant_status")).alias("m"))
+    return once.select("msg_id", "m.date_raw", "m.instant_us", "m.instant_status")
