@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import lookalikes, packing
+from . import leakage, lookalikes, packing
 
 
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:
@@ -13,6 +13,16 @@ def p6_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents"), table(spark, root, "pack_capacities"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold at least a third of an evaluation item's words."""
+    return p7_shares(spark, root).select("doc_id", "item_id")
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The same with the share of the item's words."""
+    return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of documents that look the same but differ in characters."""
     return lookalikes.look_alike_pairs(table(spark, root, "documents"))
@@ -23,5 +33,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.canonical_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p6_pack": p6_pack, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
