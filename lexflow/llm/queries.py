@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import leakage, lookalikes, packing
+from . import leakage, lookalikes, packing, scans
+
+
+def _scan_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, root, "processing_results"), table(spark, root, "ocr_index"), table(spark, root, "sidecar_pages")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Damaged lines of freshly recognised pages by kind."""
+    return scans.damage(*_scan_tables(spark, root))
+
+
+def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """The page texts as continuous paragraphs."""
+    return scans.repaired_pages(*_scan_tables(spark, root))
 
 
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:
@@ -33,5 +47,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.canonical_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
