@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import leakage, lookalikes, packing, scans
+from . import garbled, leakage, lookalikes, packing, scans
 
 
 def _scan_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -22,6 +22,16 @@ def p2_repaired(spark: SparkSession, root: str) -> DataFrame:
     return scans.repaired_pages(*_scan_tables(spark, root))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Fields with text that was decoded in the wrong encoding."""
+    return garbled.garbled_fields(table(spark, root, "messages"))
+
+
+def p4_restored(spark: SparkSession, root: str) -> DataFrame:
+    """Every message's subject and body with garbled spans put right."""
+    return garbled.restored_messages(table(spark, root, "messages"))
+
+
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:
     """Every document in containers of every capacity."""
     return packing.pack_documents(table(spark, root, "documents"), table(spark, root, "pack_capacities"))
@@ -47,5 +57,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.canonical_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
