@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import garbled, leakage, lookalikes, packing, scans
+from . import authored, garbled, leakage, lookalikes, packing, scans
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Body lines that their sender did not newly write."""
+    return authored.unwritten(table(spark, root, "messages"))
+
+
+def p1_authored(spark: SparkSession, root: str) -> DataFrame:
+    """Every message with the text its sender newly wrote."""
+    return authored.authored(table(spark, root, "messages"))
 
 
 def _scan_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,5 +67,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.canonical_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
