@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import authored, garbled, leakage, lookalikes, packing, scans
+from . import authored, garbled, leakage, lookalikes, packing, personal, scans
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -42,6 +42,16 @@ def p4_restored(spark: SparkSession, root: str) -> DataFrame:
     return garbled.restored_messages(table(spark, root, "messages"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of headers and bodies that hold personal information, by kind."""
+    return personal.personal_information(table(spark, root, "messages"), table(spark, root, "mailboxes"))
+
+
+def p5_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every message's headers and body with typed placeholders."""
+    return personal.redacted_messages(table(spark, root, "messages"), table(spark, root, "mailboxes"))
+
+
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:
     """Every document in containers of every capacity."""
     return packing.pack_documents(table(spark, root, "documents"), table(spark, root, "pack_capacities"))
@@ -67,5 +77,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.canonical_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 SQL: dict[str, str] = {}
