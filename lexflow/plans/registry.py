@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["instants"]
+MODULES = ["instants", "reference"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
