@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,14 +31,23 @@ def partial_ratio(term: str, name: str) -> float:
 
 
 def fuzzy_filter(rows: DataFrame, name: str, term: str, least: float = 90.0) -> DataFrame:
-    """Rows whose name resembles ``term``, with their ``score``; each distinct name is scored once."""
+    """Rows whose name resembles ``term``, with their ``score``; each distinct name is scored once.
+
+    A window that reaches ``least`` differs from the term by few characters; of more pieces of
+    the term than that, one stands in it unchanged. Names without any piece are dropped by a
+    plain text search before Python scores the rest, which loses nothing.
+    """
     if not term:
         return rows.withColumn("score", F.lit(100.0))
 
     def score(names: pd.Series) -> pd.Series:
         return pd.Series([None if n is None else partial_ratio(term.lower(), n.lower()) for n in names], dtype="float64")
 
-    names = rows.select(F.col(name).alias("__name")).where("__name is not null").distinct()
+    size = max(1, len(term) // (int((1 - least / 100) * 2 * len(term)) + 1))
+    pieces = [term.lower()[k : k + size] for k in range(0, len(term) - size + 1, size)]
+    low = F.lower(F.col("__name"))
+    near = reduce(lambda a, b: a | b, (low.contains(p) for p in pieces), F.length("__name") < len(term))
+    names = rows.select(F.col(name).alias("__name")).where("__name is not null").where(near).distinct()
     scored = names.withColumn("score", F.pandas_udf(score, "double")("__name")).where(F.col("score") >= least)
     return rows.join(scored, F.col(name) == F.col("__name")).drop("__name")
 

@@ -98,6 +98,8 @@ def mail_messages(spark: SparkSession, path: str) -> DataFrame:
     A file that cannot be read gives a row with ``error``; a mailbox without messages too.
     """
 
+    blank = dict.fromkeys(f.split(" ")[0] for f in MESSAGE.split(", "))
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -107,10 +109,10 @@ def mail_messages(spark: SparkSession, path: str) -> DataFrame:
                     parts = [content.split(b"\n", 1)[1] if content[:12].split(b"\n")[0].strip().isdigit() else content]
                 try:
                     own = [{"path": file, "pos": k, **_message(p), "error": None} for k, p in enumerate(parts)]
-                    rows += own or [{"path": file, "pos": None, "error": "no messages found"}]
+                    rows += own or [blank | {"path": file, "error": "no messages found"}]
                 except Exception as e:  # one broken file must not fail the job
-                    rows.append({"path": file, "pos": None, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in MESSAGE.split(", ")])
+                    rows.append(blank | {"path": file, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=list(blank), dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     mails = files.where(F.lower("path").rlike(r"\.(eml|emlx|mht|mhtml|mbox)$")).select("path", "content")

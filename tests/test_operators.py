@@ -89,6 +89,10 @@ def test_positions_and_fuzzy(spark):
     assert got == {k: n for n, k in enumerate(order, 1)}
     names = spark.createDataFrame([(1, "Settlement Agreement 2"), (2, "Deed"), (3, None), (4, "settlement agreement 2")], "k int, name string")
     assert {r.k for r in listing.fuzzy_filter(names, "name", "settlment agreement").collect()} == {1, 4} and listing.fuzzy_filter(names, "name", "").count() == 4
+    words = ["settlement offer", "setlement ofer", "the settlement offers", "offer", "settle", "unsettled payment offer", "deed", "sttlmnt ffr", "settlement  offer x", "ettlement offe"]
+    many = spark.createDataFrame(list(enumerate(words)), "k int, name string")
+    for least in (60.0, 80.0, 90.0):
+        assert {r.name for r in listing.fuzzy_filter(many, "name", "settlement offer", least).collect()} == {w for w in words if listing.partial_ratio("settlement offer", w) >= least}
     assert listing.partial_ratio("abc", "xxabcxx") == 100.0 and listing.partial_ratio("abc", "xyz") < 50
 
 
