@@ -120,7 +120,7 @@ def address_spans(text: str) -> list[tuple[int, int]]:
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _PREFIX = re.compile(r"^(?:\s*(?:[^\W\d_]{1,3}>|[>|]))+ ?")
 _ANY_DIGIT = re.compile(r"\d")
-_SAINT = re.compile(r"\b(?:São|Sao|San|Santa|Santo|Saint|Sainte|St\.?|Sankt)[ -]$", re.I)
+_SAINT = re.compile(r"(?<!\w)(?:Sao|San|Santa|Santo|Saint|Sainte|St\.?|Sankt|S[^\x00-\x7f]{1,8}o)[ \n-]$", re.I)
 _TOKEN = re.compile(r"[^ \t\r\n\x0b\x0c,;:<>()\"\[\]{}*!?|/=“”„«»¡¿]+")
 _GREETING = re.compile(r"^\s*(?:Hi|Hello|Hey|Dear|Good (?:morning|afternoon|evening|day))\b", re.I)
 # Given names that are also everyday words or months.
@@ -223,7 +223,7 @@ class Names:
             capital = not token[0].islower() or not token[0].isascii()
             doubtful = low in AMBIGUOUS or not capital
             beside = last is not None and not text[last[1] : begin].strip(" ,.\n") [1:] and begin - last[1] <= 5
-            if _SAINT.search(text, max(0, begin - 8), begin):  # a place
+            if _SAINT.search(text, max(0, begin - 12), begin):  # a place
                 last = None
                 continue
             if beside and (capital or not last[2]):
