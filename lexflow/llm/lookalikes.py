@@ -27,7 +27,7 @@ INVISIBLE_EXTRA = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 
 
 @lru_cache
-def _table() -> tuple[dict[str, str], str]:
+def character_table() -> tuple[dict[str, str], str]:
     """One-to-one mapping and the string of invisible characters, by rule over the character database."""
     letters = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
     mapped, invisible = dict(letters), list(INVISIBLE_EXTRA)
@@ -62,7 +62,7 @@ def look_alike_mapped(text: Column) -> Column:
     letters are mapped here; accents are left to the collation. Null stays null, and text
     without any such character comes back as it is without being rebuilt.
     """
-    mapped, invisible = _table()
+    mapped, invisible = character_table()
     joined = text
     for one, letters in JOINED.items():
         joined = F.replace(joined, F.lit(one), F.lit(letters))
@@ -74,7 +74,7 @@ def look_alike_mapped(text: Column) -> Column:
 @lru_cache
 def _bases() -> tuple[str, str]:
     """Accented Latin, Cyrillic and Greek letters and the base letter of each; combining marks map to nothing."""
-    mapped, _ = _table()
+    mapped, _ = character_table()
     source, target = [], []
     for code in range(0x80, 0x2000):
         ch = chr(code)

@@ -78,4 +78,27 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
-SQL: dict[str, str] = {}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _look_sql() -> str:
+    """Documents with their look-alike form; composed accents stand for the collation."""
+    mapped, invisible = lookalikes.character_table()
+    text = "text"
+    for one, letters in lookalikes.JOINED.items():
+        text = f"replace({text}, {_quoted(one)}, {_quoted(letters)})"
+    form = f"nfc_normalize(translate({text}, {_quoted(''.join(mapped) + invisible)}, {_quoted(''.join(mapped.values()))}))"
+    return f"(SELECT doc_id, text, {form} AS look FROM documents WHERE text <> '')"
+
+
+SQL: dict[str, str] = {
+    "p8_found": f"WITH d AS {_look_sql()} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p8_canonical": f"""
+        WITH d AS {_look_sql()}, t AS (SELECT look, text, min(doc_id) AS id, count(*) AS n FROM d GROUP BY look, text),
+             c AS (SELECT look, min(id) AS class_id, arg_min(text, (-n, text)) AS canonical FROM t GROUP BY look HAVING count(*) > 1)
+        SELECT x.doc_id, c.class_id, coalesce(c.canonical, x.text) AS canonical_text
+        FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id LEFT JOIN c ON c.look = d.look""",
+}
