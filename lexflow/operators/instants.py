@@ -51,8 +51,8 @@ _ZONE = r"(?: ?([a-z]{1,5})| ?\(?(?:utc|gmt)? ?([+-])(\d{1,2}):?(\d{2})?\)?)?"
 _NOTE = r"(?: ?\([a-z]{1,5}\)| ?\[[a-z_]+(?:/[a-z_+\-0-9]+)*\])?"
 _TAIL = _TIME + _ZONE + _NOTE + "$"
 _WEEKDAY = r"(?:\p{L}{2,9}\.?,? )?"
-_FIELDS = ["year", "month", "name", "day", "first", "second_number", "hour", "minute", "second", "fraction", "half", "abbreviation", "sign", "zone_hour", "zone_minute"]
-_CLOCK = _FIELDS[6:]
+FIELDS = ["year", "month", "name", "day", "first", "second_number", "hour", "minute", "second", "fraction", "half", "abbreviation", "sign", "zone_hour", "zone_minute"]
+_CLOCK = FIELDS[6:]
 
 #: An anchored pattern and the group of each field; the clock and zone fields are the nine groups from ``hour`` on.
 #: The patterns run on lower-cased text with single spaces, in this order, and the first that matches decides.
@@ -79,7 +79,7 @@ def _parsed(text: Column) -> Column:
     chain = F.when(F.lit(False), F.lit(""))
     for pattern, at in PATTERNS:
         groups = {k: v for k, v in at.items() if k != "hour"} | {k: at["hour"] + i for i, k in enumerate(_CLOCK)}
-        rewritten = F.regexp_replace(text, pattern, "|".join(f"${groups[k]}" if k in groups else "" for k in _FIELDS))
+        rewritten = F.regexp_replace(text, pattern, "|".join(f"${groups[k]}" if k in groups else "" for k in FIELDS))
         chain = chain.when(text.rlike(pattern), rewritten)
     return F.split(chain, r"\|", -1)
 
@@ -135,7 +135,7 @@ def normalise_instants(
     spaced = F.trim(F.regexp_replace(F.col(text), r"\p{Z}+|\s+", " "))
     d = df.withColumn("__r", F.nullif(F.regexp_extract(spaced, r"\[([A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*)\]$", 1), F.lit(""))).withColumn("__t", F.lower(spaced))
     d = d.withColumn("__e", _epoch_us(F.col("__t"))).withColumn("__f", F.when(F.col("__e").isNull(), _parsed(F.col("__t"))))
-    p = lambda k: F.get("__f", F.lit(_FIELDS.index(k)))
+    p = lambda k: F.get("__f", F.lit(FIELDS.index(k)))
     n = lambda k: p(k).try_cast("int")
 
     month_first = F.coalesce(F.col(locale).endswith("US"), F.lit(False))
