@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import bounded_rows
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ROUNDS = 900  # pricing rounds of the multiplicative weights
 ROWS_PER_SALT = 50_000
+MOST_CAPACITIES = 1_000  # container sizes
 GRAIN = 1024  # cells of the knapsack program at most; longer capacities are priced in steps of several tokens
 
 
@@ -186,9 +189,12 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKE
     capacities and not by the rows, are brought together per capacity.
     """
     sizes = token_counts(docs, tokenizer=tokenizer)
-    caps = capacities.where("max_tokens >= 1 and capacity_id is not null").groupBy("capacity_id").agg(F.min("max_tokens").cast("int").alias("capacity"))
-    # the number of container sizes is a parameter of the job, not data: each size multiplies the rows
-    every = sizes.join(F.broadcast(caps))
+    caps = bounded_rows(capacities.where("max_tokens >= 1 and capacity_id is not null").groupBy("capacity_id").agg(F.min("max_tokens").cast("int").alias("capacity")), MOST_CAPACITIES)
+    if caps is None:
+        raise ValueError("each container size packs all texts once more; so many are not meant")
+    kind = "array<struct<capacity_id: bigint, capacity: int>>"
+    choice = F.array(*(F.struct(F.lit(c.capacity_id).cast("bigint").alias("capacity_id"), F.lit(c.capacity).alias("capacity")) for c in sorted(caps))).cast(kind)
+    every = sizes.select("doc_id", "n_tokens", F.inline(choice))
     full = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
     pieces = every.select("capacity_id", "capacity", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece_no"))
     pieces = pieces.withColumn("from_token", F.col("piece_no") * F.col("capacity")).withColumn("length", F.least(F.col("capacity"), F.col("n_tokens") - F.col("from_token"))).drop("n_tokens")
