@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small, cut_lineage
+
 # Letters of other scripts that look like the Latin letter below them.
 CYRILLIC = "асеорхуіѕјԁһԛԝАВЕКМНОРСТХУІЅЈԌ"
 CYRILLIC_AS = "aceopxyisjdhqwABEKMHOPCTXYISJG"
@@ -23,6 +25,7 @@ GREEK_AS = "oABEZHIKMNOPTYXjv"
 # Joined letters and the letters they join.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǳ": "dz", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
 HYPHENS = "‐‑﹣－"  # hyphen, non-breaking hyphen, small and full-width hyphen; dashes differ visibly
+FEW = 500_000  # narrow rows (about 50 MB) up to which candidates are sent to the texts instead of the texts to them
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 
 
@@ -106,7 +109,7 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed = own.select("id", F.md5("t").alias("text_hash"), coarse_key(look_alike_mapped(F.col("t"))).alias("key"))
     distinct = signed.groupBy("text_hash", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     shared = distinct.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    candidates = distinct.join(shared, "key", "left_semi").select("text_hash", "id", "n")
+    candidates = broadcast_if_small(cut_lineage(distinct.join(shared, "key", "left_semi").select("text_hash", "id", "n")), FEW)
     texts = own.withColumn("text_hash", F.md5("t")).join(candidates, ["id", "text_hash"]).dropDuplicates(["text_hash"])
     members = texts.select("text_hash", "id", "n", "t", look_alike_mapped(F.col("t")).alias("mapped"))
     classes = members.sparkSession.sql(
@@ -129,12 +132,12 @@ def canonical_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     the originals look alike. Null and empty texts come back as they are; repeated rows stay
     repeated; other columns are not read.
     """
-    classes = text_classes(docs, doc_id, text)
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"))
-    of_class = classes.where("class_id is not null").select("class_id", "canonical_id").distinct()
-    canon = own.join(of_class, own.doc_id == of_class.canonical_id).groupBy("class_id").agg(F.min("t").alias("c"))
-    linked = own.withColumn("text_hash", F.md5("t")).join(classes.select("text_hash", "class_id"), "text_hash", "left").join(canon, "class_id", "left")
-    return linked.select("doc_id", "class_id", F.coalesce("c", "t").alias("canonical_text"))
+    classes = broadcast_if_small(cut_lineage(text_classes(docs, doc_id, text)), FEW)
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"), F.md5(text).alias("text_hash"))
+    alone = own.join(classes, "text_hash", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.col("t").alias("canonical_text"))
+    members = own.join(classes, "text_hash")
+    canon = members.where("doc_id = canonical_id").groupBy("class_id").agg(F.min("t").alias("canonical_text"))
+    return alone.unionByName(members.select("doc_id", "class_id").join(canon, "class_id").select("doc_id", "class_id", "canonical_text"))
 
 
 def look_alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

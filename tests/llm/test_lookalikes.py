@@ -3,6 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from lexflow.llm import lookalikes
 from lexflow.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, JOINED, canonical_documents, look_alike_pairs
 from lexflow.runtime import table
 
@@ -69,3 +70,12 @@ def test_pairs_on_tables_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert look_alike_pairs(df).count() == 0 and canonical_documents(df).count() == 0
+
+
+def test_candidates_by_shuffle_give_the_same(spark, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    pairs = {tuple(r) for r in look_alike_pairs(docs).collect()}
+    forms = {r.doc_id: (r.class_id, r.canonical_text) for r in canonical_documents(docs).collect()}
+    monkeypatch.setattr(lookalikes, "FEW", 0)
+    assert {tuple(r) for r in look_alike_pairs(docs).collect()} == pairs
+    assert {r.doc_id: (r.class_id, r.canonical_text) for r in canonical_documents(docs).collect()} == forms
