@@ -4,8 +4,8 @@ The sizes of all texts form a length histogram (at most one bin per length up to
 capacity, however many rows there are). Over it a configuration linear program is solved by
 multiplicative weights: every round prices the lengths, a knapsack dynamic program finds the
 best container content at these prices, and the weights of what it covers sink. The
-fractional solution is rounded down to whole containers; what remains is filled first-fit by
-decreasing length. The resulting container plan is joined back to the texts by their rank
+fractional solution is rounded to whole containers, and the program is solved again for the
+rest; what remains in the end is filled first-fit by decreasing length. The resulting container plan is joined back to the texts by their rank
 within their length, so all rows are placed by Spark joins.
 """
 
@@ -24,7 +24,11 @@ from pyspark.sql.window import Window
 from ..runtime import bounded_rows
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ROUNDS = 900  # pricing rounds of the multiplicative weights
+ROUNDS = 3_000  # pricing rounds of the multiplicative weights at most; the more lengths, the larger their steps
+LARGEST_STEP = 0.5  # share of the scarcest length of a content that one round covers
+COVERED = 0.9  # of each length, where the rounds may end
+FULL = 0.99  # a container of the program is at least so full
+LEAST_LEFT = 0.02  # of all tokens; so few are not solved for again
 ROWS_PER_SALT = 50_000
 MOST_CAPACITIES = 1_000  # container sizes
 GRAIN = 1024  # cells of the knapsack program at most; longer capacities are priced in steps of several tokens
@@ -67,71 +71,111 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     """How many of each item to take for the greatest total value within ``capacity``; items may repeat."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    s, v = sizes[order], values[order]
-    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")
+    # the most valuable item of each size, by size
+    order = np.lexsort((-values, sizes))
+    order = order[np.unique(sizes[order], return_index=True)[1]]
+    order = order[sizes[order] <= capacity]
+    value, item = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, dtype=np.int64)
+    value[sizes[order]], item[sizes[order]] = values[order], order
+    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
-        best[c], take[c] = best[c - 1], -1
-        if k := fits[c]:
-            total = v[:k] + best[c - s[:k]]
-            i = int(total.argmax())
-            if total[i] > best[c]:
-                best[c], take[c] = total[i], i
+        total = value[1 : c + 1] + best[c - 1 :: -1]
+        i = total.argmax()
+        best[c], take[c] = (total[i], i + 1) if total[i] > best[c - 1] else (best[c - 1], 0)
     counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
     while c > 0:
-        if take[c] < 0:
-            c -= 1
+        if take[c]:
+            counts[item[take[c]]] += 1
+            c -= int(take[c])
         else:
-            counts[order[take[c]]] += 1
-            c -= int(s[take[c]])
+            c -= 1
     return counts
 
 
-def configuration_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Contents of containers (items per length) and how many containers get each; all demand is met exactly.
+def full_content(prices: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Content of one container at these prices with no more of a length than is left, and the greatest value without that limit.
 
-    Covering program: least number of containers such that every length is covered to its
-    demand. Multiplicative weights over the lengths, steps bounded by the scarcest length of a
-    content, give a fractional solution; it is scaled to cover the mean demand and rounded
-    down, best filled contents first. Where so few texts share a length that rounding leaves
-    nearly all of them, filling first-fit from the start can need fewer containers; then that
-    plan is taken.
+    What the demand or the steps of a long capacity leave empty is filled again, in finer steps.
     """
-    step = -(-capacity // GRAIN)
-    sizes = -(-lengths // step)
-    cells = capacity // step
-    demand = demand.astype(np.int64)
-    fits = sizes <= cells
-    pool: dict[tuple, float] = {}
-    covered = np.zeros(len(lengths))
-    weights = np.where(fits, 1.0, 0.0)
-    for _ in range(rounds if fits.any() else 0):
-        content = knapsack(weights / demand, sizes, cells)
+    content, room, bound = np.zeros(len(lengths), dtype=np.int64), capacity, 0.0
+    while True:
+        step = -(-room // GRAIN)
+        open_ = np.flatnonzero((content < left) & (lengths <= room // step * step))
+        if not len(open_):
+            break
+        counts = knapsack(prices[open_], -(-lengths[open_] // step), room // step)
+        if not bound:
+            bound = float((prices[open_] * counts).sum())
+        counts = np.minimum(counts, (left - content)[open_])
+        if not counts.any():
+            break
+        content[open_] += counts
+        room = capacity - int((content * lengths).sum())
+        if not room:
+            break
+    return content, bound
+
+
+def weighted_contents(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
+    """Fractional solution of the covering program: contents, as (length, times) pairs, and how many containers have each.
+
+    Prices begin at the lengths, where every full container is worth the same, and sink for
+    what is covered. A step covers a share of the scarcest length of its content. It ends
+    when nearly every length is covered and the containers reach the bound of the prices.
+    """
+    share = min(LARGEST_STEP, len(lengths) / rounds)
+    low, covered, pool, bound = np.zeros(len(lengths)), np.zeros(len(lengths)), {}, 0.0
+    for _ in range(rounds):
+        prices = lengths * np.exp(low)
+        content, most = full_content(prices, lengths, demand, capacity)
         used = content > 0
         if not used.any():
             break
-        amount = float((demand[used] / content[used]).min())
+        bound = max(bound, float((prices * demand).sum()) / most)
+        amount = max(1.0, share * float((demand[used] / content[used]).min()))
         key = tuple(zip(np.flatnonzero(used).tolist(), content[used].tolist(), strict=True))
         pool[key] = pool.get(key, 0.0) + amount
         covered[used] += content[used] * amount
-        weights[used] *= np.exp(-2.0 * content[used] * amount / demand[used])
-        weights /= weights.max()
-    left, plan = demand.copy(), []
-    scale = 1.0
-    if pool:
-        ratio = (covered / demand)[fits]
-        scale = 1.0 / max(float(ratio.mean()), 1.0)
-    fill = lambda key: sum(int(lengths[i]) * k for i, k in key)
-    for key, amount in sorted(pool.items(), key=lambda x: (-fill(x[0]), -x[1], x[0])):
-        whole = min(int(amount * scale), *(int(left[i]) // k for i, k in key))
-        if whole > 0:
-            for i, k in key:
-                left[i] -= whole * k
-            content = np.zeros(len(lengths), dtype=np.int64)
-            for i, k in key:
-                content[i] = k
-            plan.append((content, whole))
+        low[used] -= content[used] * amount / demand[used]
+        low -= low.max()
+        if (covered >= COVERED * demand).all() and sum(pool.values()) >= bound:
+            break
+    scale = 1.0 / max(float((covered / demand).mean()), 1.0)
+    return {key: amount * scale for key, amount in pool.items()}
+
+
+def linear_program_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Whole containers of the rounded program, solved again for what rounding left while that places much; and what is left."""
+    left, plan = demand.astype(np.int64), []
+    while (left * lengths).sum() > LEAST_LEFT * (demand * lengths).sum():
+        on = np.flatnonzero(left > 0)
+        pool = weighted_contents(lengths[on], left[on], capacity, rounds)
+        fill = lambda key: sum(int(lengths[on[i]]) * k for i, k in key)
+        before = int((left * lengths).sum())
+        for key, amount in sorted(pool.items(), key=lambda x: (-fill(x[0]), -x[1], x[0])):
+            whole = min(int(amount + 0.5), *(int(left[on[i]]) // k for i, k in key))
+            if whole > 0 and fill(key) >= FULL * capacity:
+                content = np.zeros(len(lengths), dtype=np.int64)
+                for i, k in key:
+                    content[on[i]] = k
+                left -= whole * content
+                plan.append((content, whole))
+        if int((left * lengths).sum()) > before / 2:
+            break
+    return plan, left
+
+
+def configuration_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """Contents of containers (items per length) and how many containers get each; all demand is met exactly.
+
+    Covering program: least number of containers such that every length is covered to its
+    demand. Multiplicative weights over the lengths give a fractional solution; it is scaled
+    to cover the mean demand and rounded, best filled contents first, and the program is
+    solved again for the rest. The last rest is filled first-fit. Where that needs more
+    containers than first-fit alone, the plan of first-fit is taken.
+    """
+    demand = demand.astype(np.int64)
+    plan, left = linear_program_plan(lengths, demand, capacity, rounds)
     plan += first_fit_rest(lengths, left, capacity)
     other = first_fit_rest(lengths, demand, capacity)
     return min(plan, other, key=lambda x: sum(times for _, times in x))

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexflow.llm.packing import _encoding, TOKENIZER, configuration_plan, knapsack, pack_documents
+from lexflow.llm.packing import _encoding, TOKENIZER, configuration_plan, knapsack, linear_program_plan, pack_documents
 from lexflow.runtime import table
 
 
@@ -17,6 +17,16 @@ def test_plan_meets_demand_exactly(histogram):
     assert sum(times for _, times in plan) <= 2 * -(-int((lengths * demand).sum()) // 40) + 1
 
 
+def test_program_itself_places_most_pieces():
+    rng = np.random.default_rng(7)
+    lengths, demand = np.unique(np.clip(rng.lognormal(4.2, 0.8, 20_000).astype(np.int64), 1, 256), return_counts=True)
+    plan, left = linear_program_plan(lengths, demand, 256)
+    total = int((lengths * demand).sum())
+    assert (sum(content * times for content, times in plan) + left == demand).all()
+    assert (left * lengths).sum() < 0.05 * total
+    assert sum(times for _, times in plan) * 256 < 1.002 * (total - (left * lengths).sum())
+
+
 def test_knapsack_against_enumeration():
     rng = np.random.default_rng(1)
     for _ in range(20):
