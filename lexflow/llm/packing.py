@@ -1,12 +1,16 @@
 """Filling fixed-capacity containers with texts sized in tokens.
 
 The sizes of all texts form a length histogram (at most one bin per length up to the
-capacity, however many rows there are). Over it a configuration linear program is solved by
-multiplicative weights: every round prices the lengths, a knapsack dynamic program finds the
-best container content at these prices, and the weights of what it covers sink. The
-fractional solution is rounded to whole containers, and the program is solved again for the
-rest; what remains in the end is filled first-fit by decreasing length. The resulting container plan is joined back to the texts by their rank
-within their length, so all rows are placed by Spark joins.
+capacity, however many rows there are). Over it the configuration linear program is solved by
+multiplicative weights: the more of a length is covered, the lower its price; a knapsack
+dynamic program prices the contents of a container; and every round adds contents that reach
+the program's best value, for what their lengths still lack. Rounds go on until the
+fractional solution lies within ``GAP`` of the bound that the prices prove. It is then
+rounded: whole containers first, then one container for each fraction, whose used-up items
+are exchanged for those the prices value most; what is left is a smaller program of the same
+kind. The shortest pieces (``HELD`` of all tokens) take no part: they fill the room that the
+contents leave, as in the classic scheme for this program. Only the last rest is placed
+first-fit. The plan is joined back to the texts by their rank within their length.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import bounded_rows
+from ..runtime import bounded_rows, broadcast_if_small, cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-ROUNDS = 3_000  # pricing rounds of the multiplicative weights at most; the more lengths, the larger their steps
-LARGEST_STEP = 0.5  # share of the scarcest length of a content that one round covers
-COVERED = 0.9  # of each length, where the rounds may end
-FULL = 0.99  # a container of the program is at least so full
-LEAST_LEFT = 0.02  # of all tokens; so few are not solved for again
+GAP = 0.01  # between a fractional solution and the bound of its prices
+PARTS = 8  # rounds in which the demand is covered, before the rounds for what is short
+FEWER = 0.9  # what is short sinks at least so far in a further round, or no more rounds follow
+DISCOUNT = 0.02  # of a price, where its length is covered one part more
+BATCH = 64  # contents that are made at once
+HELD = 0.006  # of all tokens, in the shortest pieces, to fill up containers
+ROOM = 0.008  # of a container that its content may leave to them
+LEAST_LEFT = 0.005  # of all tokens; so few are not solved for again
 ROWS_PER_SALT = 50_000
+BLOCK = 4096  # ranks of a length that one row of the plan covers at most
 MOST_CAPACITIES = 1_000  # container sizes
-GRAIN = 1024  # cells of the knapsack program at most; longer capacities are priced in steps of several tokens
+FEW = 500_000  # narrow rows of a lookup that is broadcast
 
 
 @lru_cache(maxsize=2)
@@ -69,120 +77,169 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
     return own.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each item to take for the greatest total value within ``capacity``; items may repeat."""
-    # the most valuable item of each size, by size
-    order = np.lexsort((-values, sizes))
-    order = order[np.unique(sizes[order], return_index=True)[1]]
-    order = order[sizes[order] <= capacity]
-    value, item = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, dtype=np.int64)
-    value[sizes[order]], item[sizes[order]] = values[order], order
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        total = value[1 : c + 1] + best[c - 1 :: -1]
-        i = total.argmax()
-        best[c], take[c] = (total[i], i + 1) if total[i] > best[c - 1] else (best[c - 1], 0)
-    counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
-    while c > 0:
-        if take[c]:
-            counts[item[take[c]]] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    return counts
-
-
-def full_content(prices: np.ndarray, lengths: np.ndarray, left: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """Content of one container at these prices with no more of a length than is left, and the greatest value without that limit.
-
-    What the demand or the steps of a long capacity leave empty is filled again, in finer steps.
-    """
-    content, room, bound = np.zeros(len(lengths), dtype=np.int64), capacity, 0.0
-    while True:
-        step = -(-room // GRAIN)
-        open_ = np.flatnonzero((content < left) & (lengths <= room // step * step))
-        if not len(open_):
-            break
-        counts = knapsack(prices[open_], -(-lengths[open_] // step), room // step)
-        if not bound:
-            bound = float((prices[open_] * counts).sum())
-        counts = np.minimum(counts, (left - content)[open_])
-        if not counts.any():
-            break
-        content[open_] += counts
-        room = capacity - int((content * lengths).sum())
-        if not room:
-            break
-    return content, bound
+def best_values(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The greatest value of items that fit into each room up to ``capacity``; sizes ascend, items may repeat."""
+    best = np.zeros(capacity + 1)
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for room in range(int(sizes[0]), capacity + 1):
+        k = upto[room]
+        best[room] = max(best[room - 1], (values[:k] + best[room - sizes[:k]]).max())
+    return best
 
 
-def weighted_contents(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> dict[tuple, float]:
-    """Fractional solution of the covering program: contents, as (length, times) pairs, and how many containers have each.
+def full_contents(first: np.ndarray, values: np.ndarray, sizes: np.ndarray, best: np.ndarray, limit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A content for each item of ``first``: that item, and others that bring the rest of the room to its best value.
 
-    Prices begin at the lengths, where every full container is worth the same, and sink for
-    what is covered. A step covers a share of the scarcest length of its content. It ends
-    when nearly every length is covered and the containers reach the bound of the prices.
+    Item counts stay within ``limit``. Among contents of nearly equal value chance decides, so
+    that a batch spreads over the items, the longer ones a little before the shorter ones.
     """
-    share = min(LARGEST_STEP, len(lengths) / rounds)
-    low, covered, pool, bound = np.zeros(len(lengths)), np.zeros(len(lengths)), {}, 0.0
-    for _ in range(rounds):
-        prices = lengths * np.exp(low)
-        content, most = full_content(prices, lengths, demand, capacity)
-        used = content > 0
-        if not used.any():
+    capacity, live = len(best) - 1, np.arange(len(first))
+    count = np.zeros((len(first), len(sizes)), np.int64)
+    count[live, first] = 1
+    room = capacity - sizes[first]
+    wish = values * (1 + DISCOUNT / 2 * rng.random(count.shape) + DISCOUNT * sizes / capacity)
+    wish[:, limit <= 0] = -np.inf
+    once = limit[first] <= 1
+    wish[live[once], first[once]] = -np.inf
+    while len(live):
+        upto = int(np.searchsorted(sizes, room[live].max(), "right"))
+        if not upto:
             break
-        bound = max(bound, float((prices * demand).sum()) / most)
-        amount = max(1.0, share * float((demand[used] / content[used]).min()))
-        key = tuple(zip(np.flatnonzero(used).tolist(), content[used].tolist(), strict=True))
-        pool[key] = pool.get(key, 0.0) + amount
-        covered[used] += content[used] * amount
-        low[used] -= content[used] * amount / demand[used]
-        low -= low.max()
-        if (covered >= COVERED * demand).all() and sum(pool.values()) >= bound:
-            break
-    scale = 1.0 / max(float((covered / demand).mean()), 1.0)
-    return {key: amount * scale for key, amount in pool.items()}
+        rest = room[live, None] - sizes[:upto]
+        gain = np.where(rest >= 0, wish[live, :upto] + best[rest], -np.inf)
+        pick = gain.argmax(1)
+        some = gain[np.arange(len(live)), pick] > -np.inf
+        live, pick = live[some], pick[some]
+        count[live, pick] += 1
+        used = count[live, pick] >= limit[pick]
+        wish[live[used], pick[used]] = -np.inf
+        room[live] -= sizes[pick]
+    return count
+
+
+def fractional_solution(lengths: np.ndarray, demand: np.ndarray, capacity: int, rng: np.random.Generator):
+    """Contents with the (fractional) number of containers of each, the prices, their best values, the bound, and the gap.
+
+    Round by round a further part of each demand is covered; no length is covered by more
+    than half a part beyond that, and in the end hardly at all beyond its demand. What stays
+    short counts with containers of that length alone, so the gap is that of a solution that
+    meets all demand. The bound holds for every price: demand at these prices over the value
+    of the best content.
+    """
+    need, covered, pool = demand.astype(float), np.zeros(len(lengths)), {}
+    bound, total, last, turn = 0.0, 0.0, np.inf, 0
+    while True:
+        turn += 1
+        over = covered / need * PARTS
+        prices = lengths * np.exp(-DISCOUNT * (over - over.min()))
+        best = best_values(prices, lengths, capacity)
+        bound = max(bound, float((prices * need).sum()) / best[-1])
+        target = need * min(1.0, turn / PARTS)
+        most = np.minimum(target + need / PARTS / 2, need * (1 + 0.4 * GAP))
+        for _ in range(PARTS):
+            short = np.maximum(target - covered, 0)
+            wanted = np.flatnonzero(short > 0.05 * need / PARTS)
+            if not len(wanted):
+                break
+            first = wanted[np.lexsort((rng.random(len(wanted)), -np.round(short / need, 3)[wanted]))[:BATCH]]
+            limit = np.where(covered < most * (1 - 1e-9), np.maximum(1, demand), 0)
+            for row in full_contents(first, prices * np.where(short > 0, 1 + DISCOUNT, 1), lengths, best, limit, rng):
+                on = np.flatnonzero(row)
+                k = row[on]
+                amount = min(float(((most - covered)[on] / k).min()), float((np.maximum(target - covered, 0)[on] / k).max()))
+                if amount > 0:
+                    covered[on] += k * amount
+                    total += amount
+                    key = (on.tobytes(), k.tobytes())
+                    pool[key] = pool.get(key, 0.0) + amount
+        if turn >= PARTS:
+            short = np.maximum(need - covered, 0)
+            gap = (total + float((short / (capacity // lengths)).sum())) / bound - 1
+            if gap <= GAP or short.sum() > FEWER * last or short.sum() < 1e-3 * need.sum():
+                break
+            last = short.sum()
+    contents = [(np.frombuffer(on, np.int64), np.frombuffer(k, np.int64), amount) for (on, k), amount in pool.items()]
+    return contents, prices, best, bound, gap
+
+
+def program_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray, float, float]:
+    """Whole containers of the rounded program as (content, times), what is left, and the bound and gap of the whole program.
+
+    A content may leave ``ROOM``; where a round of rounding places too little, twice as much.
+    """
+    rng, left, plan = np.random.default_rng(1), demand.astype(np.int64), []
+    room_left, all_tokens, bound, gap = int(ROOM * capacity), int((demand * lengths).sum()), None, None
 
+    def add(on: np.ndarray, k: np.ndarray, times: int) -> None:
+        content = np.zeros(len(lengths), np.int64)
+        content[on] = k
+        left[on] -= times * k
+        plan.append((content, times))
 
-def linear_program_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
-    """Whole containers of the rounded program, solved again for what rounding left while that places much; and what is left."""
-    left, plan = demand.astype(np.int64), []
-    while (left * lengths).sum() > LEAST_LEFT * (demand * lengths).sum():
+    while (left * lengths).sum() > LEAST_LEFT * all_tokens:
         on = np.flatnonzero(left > 0)
-        pool = weighted_contents(lengths[on], left[on], capacity, rounds)
-        fill = lambda key: sum(int(lengths[on[i]]) * k for i, k in key)
+        own = lengths[on]
+        contents, prices, best, this_bound, this_gap = fractional_solution(own, left[on], capacity, rng)
+        if bound is None:
+            bound, gap = this_bound, this_gap
         before = int((left * lengths).sum())
-        for key, amount in sorted(pool.items(), key=lambda x: (-fill(x[0]), -x[1], x[0])):
-            whole = min(int(amount + 0.5), *(int(left[on[i]]) // k for i, k in key))
-            if whole > 0 and fill(key) >= FULL * capacity:
-                content = np.zeros(len(lengths), dtype=np.int64)
-                for i, k in key:
-                    content[on[i]] = k
-                left -= whole * content
-                plan.append((content, whole))
-        if int((left * lengths).sum()) > before / 2:
-            break
-    return plan, left
-
-
-def configuration_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Contents of containers (items per length) and how many containers get each; all demand is met exactly.
-
-    Covering program: least number of containers such that every length is covered to its
-    demand. Multiplicative weights over the lengths give a fractional solution; it is scaled
-    to cover the mean demand and rounded, best filled contents first, and the program is
-    solved again for the rest. The last rest is filled first-fit. Where that needs more
-    containers than first-fit alone, the plan of first-fit is taken.
-    """
-    demand = demand.astype(np.int64)
-    plan, left = linear_program_plan(lengths, demand, capacity, rounds)
-    plan += first_fit_rest(lengths, left, capacity)
-    other = first_fit_rest(lengths, demand, capacity)
-    return min(plan, other, key=lambda x: sum(times for _, times in x))
+        loads = [int((own[a] * k).sum()) for a, k, _ in contents]
+        for n in sorted(range(len(contents)), key=lambda n: (-loads[n], -contents[n][2])):
+            a, k, amount = contents[n]
+            whole = min(int(amount), int((left[on[a]] // k).min()))
+            if whole > 0 and loads[n] >= capacity - room_left:
+                add(on[a], k, whole)
+        if (left * lengths).sum() > before / 2:  # fractions: one container each, fewest and so longest items first
+            worth = prices * (1 + DISCOUNT * own / capacity)
+            for a, k, _ in sorted(contents, key=lambda c: (int(c[1].sum()), -(c[2] % 1))):
+                count = np.zeros(len(own), np.int64)
+                count[a] = np.minimum(k, left[on[a]])
+                room, free = capacity - int((count * own).sum()), left[on] - count
+                if room > capacity / 2:
+                    continue
+                while room >= own[0]:
+                    upto = int(np.searchsorted(own, room, "right"))
+                    gain = np.where(free[:upto] > 0, worth[:upto] + best[room - own[:upto]], -1)
+                    pick = int(gain.argmax())
+                    if gain[pick] < 0:
+                        break
+                    count[pick] += 1
+                    free[pick] -= 1
+                    room -= int(own[pick])
+                if room <= room_left:
+                    used = np.flatnonzero(count)
+                    add(on[used], count[used], 1)
+        if (left * lengths).sum() > 0.7 * before:
+            if room_left > capacity / 50:
+                break
+            room_left = max(1, 2 * room_left)
+    return plan, left, bound or 0.0, gap or 0.0
+
+
+def filled_up(plan: list[tuple[np.ndarray, int]], lengths: np.ndarray, held: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """The plan with held pieces in the room its containers leave, smallest rooms first; and what still has no place."""
+    out, held, order = [], held.copy(), np.flatnonzero(held)[::-1]
+    for content, times in sorted(plan, key=lambda row: capacity - int((row[0] * lengths).sum())):
+        while times > 0:
+            extra, room = np.zeros(len(lengths), np.int64), capacity - int((content * lengths).sum())
+            for i in order:
+                if held[i] > 0 and lengths[i] <= room:
+                    extra[i] = min(int(held[i]), room // int(lengths[i]))
+                    room -= int(extra[i] * lengths[i])
+            used = extra > 0
+            if not used.any():
+                break
+            n = min(times, int((held[used] // extra[used]).min()))
+            held[used] -= n * extra[used]
+            out.append((content + extra, n))
+            times -= n
+        if times:
+            out.append((content, times))
+    return out, held
 
 
 def first_fit_rest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Containers for what rounding left over: each takes the longest that still fits, again and again.
+    """Containers for the last rest: each takes the longest that still fits, again and again.
 
     Equal containers are counted, not listed, so the work depends on the histogram only.
     """
@@ -201,23 +258,45 @@ def first_fit_rest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list
     return plan
 
 
-def _solve(key: tuple, histogram: pd.DataFrame) -> pd.DataFrame:
+def configuration_plan(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, int]], dict[str, float]]:
+    """Contents of containers (items per length) and how many containers get each; all demand is met exactly.
+
+    The second value tells the program's ``bound`` and ``gap`` and the shares of pieces and of
+    tokens that its own contents place (the others were held to fill them up, or came last).
+    """
+    demand = demand.astype(np.int64)
+    tokens = np.cumsum(lengths * demand)
+    held = np.where(tokens <= HELD * tokens[-1], demand, 0)
+    on = np.flatnonzero(demand > held)
+    part, left, bound, gap = program_plan(lengths[on], (demand - held)[on], capacity)
+    rest = np.zeros(len(lengths), np.int64)
+    rest[on] = left
+    plan = []
+    for content, times in part:
+        whole = np.zeros(len(lengths), np.int64)
+        whole[on] = content
+        plan.append((whole, times))
+    told = {"bound": bound, "gap": gap, "pieces": 1 - float((rest + held).sum() / demand.sum()), "tokens": 1 - float(((rest + held) * lengths).sum() / tokens[-1])}
+    plan, over = filled_up(plan + first_fit_rest(lengths, rest, capacity), lengths, held, capacity)
+    return plan + first_fit_rest(lengths, over, capacity), told
+
+
+def _slots(capacity_id: int, capacity: int, lengths: np.ndarray, demand: np.ndarray) -> list[tuple]:
     """The slots of one capacity: for each length, ranges of ranks and the containers that take them."""
-    capacity_id, capacity = int(key[0]), int(key[1])
-    h = histogram[histogram["length"] > 0].sort_values("length")
-    lengths, demand = h["length"].to_numpy(np.int64), h["n"].to_numpy(np.int64)
-    rows, first, given = [], 0, np.zeros(len(lengths), dtype=np.int64)
-    for content, times in configuration_plan(lengths, demand, capacity) if len(h) else []:
+    rows, first = [], 0
+    some = lengths > 0
+    own, n = lengths[some], demand[some]
+    given = np.zeros(len(own), dtype=np.int64)
+    for content, times in configuration_plan(own, n, capacity)[0] if len(own) else []:
         for i in np.flatnonzero(content):
             k = int(content[i])
-            rows.append((capacity_id, int(lengths[i]), int(given[i]), int(given[i]) + k * times, first, k))
+            rows.append((capacity_id, int(own[i]), int(given[i]), int(given[i]) + k * times, first, k))
             given[i] += k * times
         first += times
-    zero = int(histogram.loc[histogram["length"] == 0, "n"].sum())
+    zero = int(demand[~some].sum())
     if zero:  # texts without tokens need no room and spread evenly over the containers
-        per = -(-zero // max(first, 1))
-        rows.append((capacity_id, 0, 0, zero, 0, per))
-    return pd.DataFrame(rows, columns=["capacity_id", "length", "rank_from", "rank_to", "first_container", "each"])
+        rows.append((capacity_id, 0, 0, zero, 0, -(-zero // max(first, 1))))
+    return rows
 
 
 def pack_documents(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -228,34 +307,55 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKE
     Texts without tokens are placed too. A capacity that is null or below 1 gets no packing;
     a repeated capacity id counts once (smallest size). Extra columns are ignored.
 
-    Ranks within a length come from salted counts, so a length that a third of the rows share
-    is spread over many tasks. Only histogram and container plan, both bounded by the
-    capacities and not by the rows, are brought together per capacity.
+    Texts are ranked once, within their number of tokens; the rank of a piece within its
+    length follows by arithmetic from the counts of the numbers of tokens. Ranks come from
+    salted counts and the plan is cut into blocks of ranks, so a length that a third of the
+    rows share is spread over many tasks. Only histogram and container plan, both bounded by
+    the capacities and not by the rows, are brought together per capacity, one task each.
     """
-    sizes = token_counts(docs, tokenizer=tokenizer)
+    sizes = cut_lineage(token_counts(docs, tokenizer=tokenizer))
     caps = bounded_rows(capacities.where("max_tokens >= 1 and capacity_id is not null").groupBy("capacity_id").agg(F.min("max_tokens").cast("int").alias("capacity")), MOST_CAPACITIES)
     if caps is None:
         raise ValueError("each container size packs all texts once more; so many are not meant")
-    kind = "array<struct<capacity_id: bigint, capacity: int>>"
-    choice = F.array(*(F.struct(F.lit(c.capacity_id).cast("bigint").alias("capacity_id"), F.lit(c.capacity).alias("capacity")) for c in sorted(caps))).cast(kind)
-    every = sizes.select("doc_id", "n_tokens", F.inline(choice))
-    full = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
-    pieces = every.select("capacity_id", "capacity", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece_no"))
-    pieces = pieces.withColumn("from_token", F.col("piece_no") * F.col("capacity")).withColumn("length", F.least(F.col("capacity"), F.col("n_tokens") - F.col("from_token"))).drop("n_tokens")
-
-    # a length and capacity need as many salts as their rows fill; 64 buckets of hashed ids are counted first
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(1 << 20)))
-    histogram = pieces.groupBy("capacity_id", "capacity", "length").agg(F.count("*").alias("n"))
-    salts = histogram.select("capacity_id", "length", F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_PER_SALT)).cast("int").alias("salts"))
-    salted = pieces.join(F.broadcast(salts), ["capacity_id", "length"]).withColumn("salt", F.pmod(F.col("bucket"), F.col("salts")).cast("int"))
-    counts = salted.groupBy("capacity_id", "length", "salt").agg(F.count("*").alias("n"))
-    before = counts.select("capacity_id", "length", "salt", (F.sum("n").over(Window.partitionBy("capacity_id", "length").orderBy("salt")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("capacity_id", "length", "salt").orderBy("doc_id", "piece_no")
-    ranked = salted.select("capacity_id", "length", "salt", "doc_id", "piece_no", "from_token", (F.row_number().over(own) - 1).alias("r"))
-    ranked = ranked.join(before, ["capacity_id", "length", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
-
-    slots = histogram.groupBy("capacity_id", "capacity").applyInPandas(_solve, "capacity_id bigint, length int, rank_from bigint, rank_to bigint, first_container bigint, each bigint")
-    inside = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    placed = ranked.join(F.broadcast(slots.withColumnRenamed("capacity_id", "c").withColumnRenamed("length", "l")), (F.col("capacity_id") == F.col("c")) & (F.col("length") == F.col("l")) & inside)
+    choice = F.array(*(F.struct(F.lit(c.capacity_id).cast("bigint").alias("capacity_id"), F.lit(c.capacity).alias("capacity")) for c in sorted(caps))).cast("array<struct<capacity_id: bigint, capacity: int>>")
+
+    counts = cut_lineage(sizes.groupBy("n_tokens").agg(F.count("*").alias("n")))
+    few = broadcast_if_small(counts, FEW)
+    salted = sizes.join(few.select("n_tokens", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("salts")), "n_tokens")
+    salted = salted.select("n_tokens", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"))
+    by_salt = salted.groupBy("n_tokens", "salt").agg(F.count("*").alias("m"))
+    before = by_salt.select("n_tokens", "salt", (F.sum("m").over(Window.partitionBy("n_tokens").orderBy("salt")) - F.col("m")).alias("before"))
+    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id")) - 1).join(before, ["n_tokens", "salt"])
+    ranked = ranked.select("n_tokens", "doc_id", (F.col("r") + F.col("before")).alias("place"))
+
+    # what a number of tokens comes to at each capacity, and where its pieces begin among those of their length
+    every = counts.select("n_tokens", "n", F.inline(choice)).withColumn("full", F.expr("n_tokens div capacity").cast("bigint")).withColumn("rest", (F.col("n_tokens") % F.col("capacity")).cast("int"))
+    full_before = F.sum(F.col("n") * F.col("full")).over(Window.partitionBy("capacity_id").orderBy("n_tokens")) - F.col("n") * F.col("full")
+    rest_before = F.sum("n").over(Window.partitionBy("capacity_id", "rest").orderBy("n_tokens")) - F.col("n")
+    every = cut_lineage(every.select("*", full_before.alias("full_before"), rest_before.alias("rest_before")))
+
+    has_rest = (F.col("rest") > 0) | (F.col("n_tokens") == 0)
+    lengths = every.select("capacity_id", "capacity", F.col("rest").alias("length"), "n").where(has_rest).unionByName(every.where("full > 0").select("capacity_id", "capacity", F.col("capacity").alias("length"), (F.col("n") * F.col("full")).alias("n")))
+    histogram = lengths.groupBy("capacity_id", "capacity", "length").agg(F.sum("n").alias("n"))
+    bins = histogram.groupBy("capacity_id", "capacity").agg(F.sort_array(F.collect_list(F.struct("length", "n"))).alias("bins"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for capacity_id, capacity, rows in zip(batch["capacity_id"], batch["capacity"], batch["bins"], strict=True):
+                length, n = (np.array([r[c] for r in rows], np.int64) for c in ("length", "n"))
+                yield pd.DataFrame(_slots(int(capacity_id), int(capacity), length, n), columns=["capacity_id", "length", "rank_from", "rank_to", "first_container", "each"])
+
+    # one row per capacity, dealt out in turn: each is solved in a task of its own
+    dealt = bins.coalesce(1).repartition(max(1, len(caps)))
+    slots = cut_lineage(dealt.mapInPandas(solve, "capacity_id bigint, length int, rank_from bigint, rank_to bigint, first_container bigint, each bigint"))
+    blocks = slots.select("*", F.explode(F.sequence(F.expr(f"rank_from div {BLOCK}"), F.expr(f"(rank_to - 1) div {BLOCK}"))).alias("block"))
+
+    pieces = ranked.join(broadcast_if_small(every.drop("n"), FEW), "n_tokens")
+    full_pieces = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1), lambda k: F.struct(k.cast("int").alias("piece_no"), F.col("capacity").alias("length"), (F.col("full_before") + F.col("place") * F.col("full") + k).alias("rank"))))
+    rest_piece = F.when(has_rest, F.array(F.struct(F.col("full").cast("int").alias("piece_no"), F.col("rest").alias("length"), (F.col("rest_before") + F.col("place")).alias("rank"))))
+    nothing = F.array().cast("array<struct<piece_no: int, length: int, rank: bigint>>")
+    pieces = pieces.select("capacity_id", "capacity", "doc_id", F.inline(F.concat(F.coalesce(full_pieces, nothing), F.coalesce(rest_piece, nothing))))
+    pieces = pieces.withColumn("block", F.expr(f"rank div {BLOCK}"))
+    placed = pieces.join(broadcast_if_small(blocks, FEW), ["capacity_id", "length", "block"]).where("rank >= rank_from and rank < rank_to")
     container = F.col("first_container") + F.expr("(rank - rank_from) div each")
-    return placed.select("capacity_id", container.alias("container_id"), "doc_id", "piece_no", "from_token", F.col("length").alias("n_tokens"))
+    return placed.select("capacity_id", container.alias("container_id"), "doc_id", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("from_token"), F.col("length").alias("n_tokens"))
