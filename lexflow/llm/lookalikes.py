@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, cut_lineage
+from ..runtime import broadcast_if_small, cut_lineage, is_small
 
 # Letters of other scripts that look like the Latin letter below them.
 CYRILLIC = "асеорхуіѕјԁһԛԝАВЕКМНОРСТХУІЅЈԌ"
@@ -25,7 +25,10 @@ GREEK_AS = "oABEZHIKMNOPTYXjv"
 # Joined letters and the letters they join.
 JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǳ": "dz", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
 HYPHENS = "‐‑﹣－"  # hyphen, non-breaking hyphen, small and full-width hyphen; dashes differ visibly
+# Format characters that show a sign (number and abbreviation signs of Arabic, Syriac and Kaithi)
+SHOWN_FORMAT = (0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD)
 FEW = 500_000  # narrow rows (about 50 MB) up to which candidates are sent to the texts instead of the texts to them
+SALTS = 16  # parts of a text's documents where pairs are joined by shuffle
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 
 
@@ -40,7 +43,7 @@ def character_table() -> tuple[dict[str, str], str]:
         if kind in ("Cn", "Cs", "Co") or ch in mapped:
             continue
         if kind == "Cf" or "︀" <= ch <= "️":
-            if not 0xE0000 <= code <= 0xE0FFF and not unicodedata.name(ch, "").startswith("ARABIC"):
+            if not 0xE0000 <= code <= 0xE0FFF and code not in SHOWN_FORMAT:
                 invisible.append(ch)
         elif kind == "Zs":
             mapped[ch] = " "
@@ -76,41 +79,56 @@ def look_alike_mapped(text: Column) -> Column:
 
 @lru_cache
 def _bases() -> tuple[str, str]:
-    """Accented Latin, Cyrillic and Greek letters and the base letter of each; combining marks map to nothing."""
+    """Characters and what a key keeps of them, by rule over the character database.
+
+    A letter with a canonical decomposition keeps its base (a Hangul syllable its first
+    letter); marks, later Hangul letters, controls and format characters keep nothing. So the
+    composed and the decomposed form of any text have the same key.
+    """
     mapped, _ = character_table()
-    source, target = [], []
-    for code in range(0x80, 0x2000):
+    source, target, gone = [], [], []
+    for code in range(1, sys.maxunicode + 1):
         ch = chr(code)
+        kind = unicodedata.category(ch)
+        if kind in ("Cn", "Cs", "Co") or ch in "\t\n\v\f\r\x85":
+            continue
+        if kind[0] == "M" or kind in ("Cf", "Cc") or 0x1160 <= code <= 0x11FF or 0xD7B0 <= code <= 0xD7FB:
+            gone.append(ch)
+            continue
         base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and base.isalpha() and not 0x300 <= code < 0x370:
+        base = mapped.get(base, base)
+        if base != ch and ch not in mapped:
             source.append(ch)
-            target.append(mapped.get(base, base))
-    return "".join(source) + "".join(chr(c) for c in range(0x300, 0x370)), "".join(target)
+            target.append(base)
+    return "".join(source + gone), "".join(target)
 
 
 def coarse_key(mapped: Column) -> Column:
-    """64-bit key that is equal for any two mapped texts that the collation can equate (it ignores accents)."""
+    """64-bit key that is equal for any two mapped texts that the collation can equate (it ignores all marks)."""
     source, target = _bases()
-    bare = F.when(F.octet_length(mapped) == F.char_length(mapped), mapped).otherwise(F.translate(mapped, source, target))
+    bare = F.when(mapped.rlike(r"[^\t\n\x0b\f\r -~]"), F.translate(mapped, source, target)).otherwise(mapped)
     return F.xxhash64(bare)
 
 
-def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per distinct text that looks like another: ``text_hash``, ``class_id``, ``canonical_id``.
+def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The classes of texts that look alike, and the texts of all documents.
 
-    ``class_id`` and ``canonical_id`` are the smallest document id of the class and of its
-    canonical text; the canonical text is the one most documents have, then the smallest in
-    byte order. Texts that look like no other are absent; null and empty texts have no class.
+    The first has one row per distinct text that looks like another: ``text_hash``,
+    ``class_id``, ``canonical_id``. ``class_id`` and ``canonical_id`` are the smallest
+    document id of the class and of its canonical text; the canonical text is the one most
+    documents have, then the smallest in byte order. Texts that look like no other are
+    absent; null and empty texts have no class. The second has ``id`` and ``text_hash`` of
+    every document with text, written once for all joins on it.
 
     Exact copies are folded first, so a text that a third of all rows share is one row from
     there on. Whole texts are shuffled only for texts whose coarse key another text shares.
     """
     own = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t")).where((F.col("t") != "") & F.col("id").isNotNull())
-    signed = own.select("id", F.md5("t").alias("text_hash"), coarse_key(look_alike_mapped(F.col("t"))).alias("key"))
+    signed = cut_lineage(own.select("id", F.unhex(F.md5("t")).alias("text_hash"), coarse_key(look_alike_mapped(F.col("t"))).alias("key")))
     distinct = signed.groupBy("text_hash", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     shared = distinct.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
     candidates = broadcast_if_small(cut_lineage(distinct.join(shared, "key", "left_semi").select("text_hash", "id", "n")), FEW)
-    texts = own.withColumn("text_hash", F.md5("t")).join(candidates, ["id", "text_hash"]).dropDuplicates(["text_hash"])
+    texts = own.join(candidates, "id").where(F.unhex(F.md5("t")) == F.col("text_hash")).dropDuplicates(["text_hash"])
     members = texts.select("text_hash", "id", "n", "t", look_alike_mapped(F.col("t")).alias("mapped"))
     classes = members.sparkSession.sql(
         """
@@ -121,7 +139,7 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         """,
         members=members,
     )
-    return classes
+    return cut_lineage(classes), signed.select("id", "text_hash")
 
 
 def canonical_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -132,8 +150,8 @@ def canonical_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     the originals look alike. Null and empty texts come back as they are; repeated rows stay
     repeated; other columns are not read.
     """
-    classes = broadcast_if_small(cut_lineage(text_classes(docs, doc_id, text)), FEW)
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"), F.md5(text).alias("text_hash"))
+    classes = broadcast_if_small(text_classes(docs, doc_id, text)[0], FEW)
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t"), F.unhex(F.md5(text)).alias("text_hash"))
     alone = own.join(classes, "text_hash", "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.col("t").alias("canonical_text"))
     members = own.join(classes, "text_hash")
     canon = members.where("doc_id = canonical_id").groupBy("class_id").agg(F.min("t").alias("canonical_text"))
@@ -144,10 +162,24 @@ def look_alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """``doc_id_a`` < ``doc_id_b`` for documents whose texts look the same but differ in characters.
 
     The pairs of a class are those between its distinct texts only; equal texts never pair.
+    Distinct texts are paired first, then the documents of each text are joined to either
+    side. Beyond a checked number of pairs these joins are salted by document, so a text that
+    a third of all documents share is spread over many tasks.
     """
-    classes = text_classes(docs, doc_id, text)
-    ids = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.md5(text).alias("text_hash")).where("text_hash is not null and id is not null").distinct()
-    member = ids.join(classes.select("text_hash", "class_id"), "text_hash")
-    a, b = member.alias("a"), member.alias("b")
-    pairs = a.join(b, (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.text_hash") != F.col("b.text_hash")) & (F.col("a.id") < F.col("b.id")))
-    return pairs.select(F.col("a.id").alias("doc_id_a"), F.col("b.id").alias("doc_id_b"))
+    classes, every = text_classes(docs, doc_id, text)
+    ids = every.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    a, b = classes.select("class_id", F.col("text_hash").alias("hash_a")), classes.select("class_id", F.col("text_hash").alias("hash_b"))
+    texts = a.join(b, "class_id").where("hash_a < hash_b").select("hash_a", "hash_b")
+    if is_small(texts, FEW):
+        first = ids.join(F.broadcast(texts), F.col("text_hash") == F.col("hash_a")).select(F.col("id").alias("id_a"), "hash_b")
+        if is_small(first, FEW):
+            both = ids.join(F.broadcast(first), F.col("text_hash") == F.col("hash_b")).select("id_a", F.col("id").alias("id_b"))
+            return _smaller_first(both)
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    first = ids.withColumnRenamed("text_hash", "hash_a").join(texts.withColumn("salt", each), ["hash_a", "salt"]).select(F.col("id").alias("id_a"), "hash_b")
+    both = ids.withColumnRenamed("text_hash", "hash_b").join(first.withColumn("salt", each), ["hash_b", "salt"]).select("id_a", F.col("id").alias("id_b"))
+    return _smaller_first(both)
+
+
+def _smaller_first(pairs: DataFrame) -> DataFrame:
+    return pairs.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()

@@ -79,3 +79,28 @@ def test_candidates_by_shuffle_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(lookalikes, "FEW", 0)
     assert {tuple(r) for r in look_alike_pairs(docs).collect()} == pairs
     assert {r.doc_id: (r.class_id, r.canonical_text) for r in canonical_documents(docs).collect()} == forms
+
+
+def test_composed_and_decomposed_forms_share_a_key():
+    mapped, invisible = lookalikes.character_table()
+    source, target = lookalikes._bases()
+    first = {ord(a): b for a, b in mapped.items()} | {ord(c): None for c in invisible if c not in mapped}
+    second = dict.fromkeys(map(ord, source[len(target) :])) | {ord(a): b for a, b in zip(source, target)}
+    key = lambda t: t.translate(first).translate(second)
+    wrong = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.normalize("NFD", c) != c and key(c) != key(unicodedata.normalize("NFD", c))]
+    assert wrong == []
+
+
+def test_scripts_beyond_latin(spark):
+    texts = ["한국어", "ガギ", "أب", "क़", "ക്കോ", "φαίνω", "Å", "plain", "mark", "ｶﾞ", "1≯2"]
+    rows = [(2 * k, unicodedata.normalize("NFC", t)) for k, t in enumerate(texts)] + [(2 * k + 1, unicodedata.normalize("NFD", t)) for k, t in enumerate(texts)]
+    rows += [(100, "mark؜"), (101, "ma\u0001rk"), (102, "ガ")]
+    want = {(2 * k, 2 * k + 1) for k, t in enumerate(texts) if unicodedata.normalize("NFC", t) != unicodedata.normalize("NFD", t)}
+    got = {tuple(r) for r in look_alike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and {(16, 100), (17, 100), (18, 102), (19, 102)} <= got and not any({a // 2, b // 2} == {7, 8} for a, b in got)
+
+
+def test_text_that_many_documents_share(spark):
+    rows = [(k, "Kreda Ltd paid") for k in range(300)] + [(1000, "Krеda Ltd paid"), (1001, "Kreda Ltd\xa0paid")]
+    got = {tuple(r) for r in look_alike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, x) for k in range(300) for x in (1000, 1001)} | {(1000, 1001)}
