@@ -61,6 +61,13 @@ def character_table() -> tuple[dict[str, str], str]:
     return mapped, "".join(invisible)
 
 
+def _unjoined(text: Column) -> Column:
+    joined = text
+    for one, letters in JOINED.items():
+        joined = F.replace(joined, F.lit(one), F.lit(letters))
+    return F.when(text.rlike("[" + "".join(JOINED) + "]"), joined).otherwise(text)
+
+
 def look_alike_mapped(text: Column) -> Column:
     """``text`` with each look-alike character replaced by its class's plain member.
 
@@ -69,45 +76,41 @@ def look_alike_mapped(text: Column) -> Column:
     without any such character comes back as it is without being rebuilt.
     """
     mapped, invisible = character_table()
-    joined = text
-    for one, letters in JOINED.items():
-        joined = F.replace(joined, F.lit(one), F.lit(letters))
-    unjoined = F.when(text.rlike("[" + "".join(JOINED) + "]"), joined).otherwise(text)
-    plain = F.translate(unjoined, "".join(mapped) + invisible, "".join(mapped.values()))
+    plain = F.translate(_unjoined(text), "".join(mapped) + invisible, "".join(mapped.values()))
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(plain)
 
 
 @lru_cache
-def _bases() -> tuple[str, str]:
+def key_table() -> tuple[str, str]:
     """Characters and what a key keeps of them, by rule over the character database.
 
-    A letter with a canonical decomposition keeps its base (a Hangul syllable its first
-    letter); marks, later Hangul letters, controls and format characters keep nothing. So the
-    composed and the decomposed form of any text have the same key.
+    Look-alikes count as their plain member. A letter with a canonical decomposition keeps
+    its base (a Hangul syllable its first letter); marks, later Hangul letters, controls and
+    format characters keep nothing. So the composed and the decomposed form of any text have
+    the same key.
     """
     mapped, _ = character_table()
     source, target, gone = [], [], []
     for code in range(1, sys.maxunicode + 1):
         ch = chr(code)
-        kind = unicodedata.category(ch)
-        if kind in ("Cn", "Cs", "Co") or ch in "\t\n\v\f\r\x85":
+        if unicodedata.category(ch) in ("Cn", "Cs", "Co") or ch in "\t\n\v\f\r\x85":
             continue
-        if kind[0] == "M" or kind in ("Cf", "Cc") or 0x1160 <= code <= 0x11FF or 0xD7B0 <= code <= 0xD7FB:
-            gone.append(ch)
-            continue
-        base = unicodedata.normalize("NFD", ch)[0]
+        plain = mapped.get(ch, ch)
+        base = unicodedata.normalize("NFD", plain)[0]
         base = mapped.get(base, base)
-        if base != ch and ch not in mapped:
+        kind = unicodedata.category(base)
+        if kind[0] == "M" or kind in ("Cf", "Cc") or base in INVISIBLE_EXTRA or 0x1160 <= ord(base) <= 0x11FF or 0xD7B0 <= ord(base) <= 0xD7FB:
+            gone.append(ch)
+        elif base != ch:
             source.append(ch)
             target.append(base)
     return "".join(source + gone), "".join(target)
 
 
-def coarse_key(mapped: Column) -> Column:
-    """64-bit key that is equal for any two mapped texts that the collation can equate (it ignores all marks)."""
-    source, target = _bases()
-    bare = F.when(mapped.rlike(r"[^\t\n\x0b\f\r -~]"), F.translate(mapped, source, target)).otherwise(mapped)
-    return F.xxhash64(bare)
+def coarse_key(text: Column) -> Column:
+    """64-bit key that is equal for any two texts whose mapped forms the collation can equate (it ignores all marks)."""
+    plain = F.translate(_unjoined(text), *key_table())
+    return F.xxhash64(F.when(text.rlike(r"[^\t\n\x0b\f\r -~]"), plain).otherwise(text))
 
 
 def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -124,7 +127,7 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     there on. Whole texts are shuffled only for texts whose coarse key another text shares.
     """
     own = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t")).where((F.col("t") != "") & F.col("id").isNotNull())
-    signed = cut_lineage(own.select("id", F.unhex(F.md5("t")).alias("text_hash"), coarse_key(look_alike_mapped(F.col("t"))).alias("key")))
+    signed = cut_lineage(own.select("id", F.unhex(F.md5("t")).alias("text_hash"), coarse_key(F.col("t")).alias("key")))
     distinct = signed.groupBy("text_hash", "key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     shared = distinct.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
     candidates = broadcast_if_small(cut_lineage(distinct.join(shared, "key", "left_semi").select("text_hash", "id", "n")), FEW)
