@@ -1,39 +1,48 @@
 """Evaluation texts leaking into training text.
 
 Spaced seeds: a mask of fixed length keeps some token positions and ignores the others, so
-two passages that differ by replaced words still share hashes. The hashes of all evaluation
-items meet those of every document. Hits of a document and item on nearly the same diagonal
-form a passage, which tolerates replaced, added and dropped words; the overlap around the
-hits is verified word by word, and the item's words in its best two passages are counted.
+two passages that differ by replaced words still share hashes. Items are folded by their
+words; the hashes of all item texts, less those of clauses that several texts share, are
+joined to the hashes of the documents. A Bloom filter of the items' hashes lets each document
+emit only hashes that can meet one. Around the hits of a document and item the whole overlap
+is verified: hits on nearly the same diagonal form a passage, which tolerates replaced, added
+and dropped words, and the item's words in its best two passages are counted.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_rows
+from ..runtime import broadcast_if_small, cut_lineage
 
 MASKS = ("11101001011", "11010110101", "11011000111")
 LEAST_SHARE = 1 / 3  # of an item's words
-LEAST_PASSAGE = 14  # words; a shorter passage is a phrase
+LEAST_PASSAGE = 14  # words; a shorter passage is a phrase, but for items that are hardly longer
 LEAST_EQUAL = 0.6  # of a passage's words
-COMMON_ITEMS = 3  # a seed of so many different items belongs to a common clause
+COMMON_ITEMS = 3  # a seed of so many different item texts belongs to a common clause
+LEAST_OWN = 0.5  # of an item's seeds; an item with fewer of its own is known by all its seeds
 DRIFT = 12  # words added or dropped between two hits of one passage
 BRIDGE = 21  # words between two hits up to which the words between them belong to the passage
-ITEMS_AT_ONCE = 50_000  # items that are broadcast together (about 100 MB); more take several passes
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 8, 20, 28  # of the filter, as powers of two: at most 32 MB
+FEW = 1_000_000  # narrow rows of seeds that are broadcast; more are joined by a salted shuffle
+FEW_TEXTS = 20_000  # item texts that are broadcast
+SALTS = 16
 CHUNK = 1 << 21  # characters that a task hashes at once
 
 _MASKS = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
 SPAN = max(map(len, MASKS))
+_IDEOGRAPH = "぀-ヿ㐀-䶿一-鿿豈-﫿"  # kana and ideographs are written without spaces: each is a word
 _WORD = re.compile(r"\w+")
+_WORD_OR_SIGN = re.compile(rf"[{_IDEOGRAPH}]|[^\W{_IDEOGRAPH}]+")
+_SIGN = re.compile(f"[{_IDEOGRAPH}]")
 _INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,118 +53,146 @@ def words(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
+        if _SIGN.search(text):
+            return _WORD_OR_SIGN.findall(text.lower())
     return _WORD.findall(text.lower())
 
 
-def seed_hashes(ids: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions whose kept tokens are all known, and their hashes. Token id 0 is unknown."""
-    n = len(ids) - SPAN + 1
+class Codes(dict):
+    """A number from 1 on for each word; a task remembers the words it saw."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        self[word] = code = zlib.crc32(word.encode("utf-8", "surrogatepass")) + 1
+        return code
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words(text)), np.uint64)
+
+
+def seed_hashes(codes: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start positions whose kept words are all there, and their hashes. Code 0 stands for no word."""
+    n = len(codes) - SPAN + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, known = np.full(n, mask + 1, np.uint64), np.ones(n, bool)
+    h, there = np.full(n, mask + 1, np.uint64), np.ones(n, bool)
     for at in _MASKS[mask]:
-        part = ids[at : at + n]
-        known &= part > 0
+        part = codes[at : at + n]
+        there &= part > 0
         h = (h ^ part) * _PRIME
         h ^= h >> np.uint64(29)
-    at = np.flatnonzero(known)
+    at = np.flatnonzero(there)
     return at, h[at]
 
 
-@dataclass
-class ItemIndex:
-    """Everything about the items that a task needs; its size follows the items only."""
-
-    vocabulary: dict[str, int]
-    item_ids: np.ndarray
-    tokens: list[np.ndarray]
-    hashes: np.ndarray  # sorted
-    owner: np.ndarray  # item number of each hash
-    position: np.ndarray
-    common: np.ndarray  # whether the hash belongs to a clause that different items share
-    maybe: np.ndarray  # table of 2^22 flags, by the high bits of a hash
-
-    @staticmethod
-    def build(rows: list[tuple[int, str]]) -> ItemIndex:
-        vocabulary: dict[str, int] = {}
-        tokens = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.uint64) for _, text in rows]
-        found = [(h, np.full(len(at), i), at) for i, t in enumerate(tokens) for m in range(len(MASKS)) for at, h in [seed_hashes(t, m)]]
-        h, owner, position = (np.concatenate([np.zeros(0, d), *(f[k] for f in found)]).astype(d) for k, d in enumerate((np.uint64, np.int32, np.int32)))
-        order = np.lexsort((position, owner, h))
-        h, owner, position = h[order], owner[order], position[order]
-        # hashes that different items share are clauses of the trade, not an item's own text
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        _, group = np.unique(h, return_inverse=True)
-        common = np.bincount(group, weights=first)[group] >= COMMON_ITEMS if len(h) else ~first
-        maybe = np.zeros(1 << 22, bool)
-        maybe[h >> np.uint64(42)] = True
-        return ItemIndex(vocabulary, np.array([r[0] for r in rows], np.int64), tokens, h, owner, position, common, maybe)
-
-
-def hits_of_batch(index: ItemIndex, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids of each text, and of every hit: text number, item number, token position in text and item, whether common."""
-    get = index.vocabulary.get
-    ids = [np.fromiter((get(w, 0) for w in words(t)), np.uint64) for t in texts]
-    gap = np.zeros(SPAN, np.uint64)
-    whole = np.concatenate([x for t in ids for x in (t, gap)]) if ids else gap
-    start = np.cumsum([0, *(len(t) + SPAN for t in ids)])
-    out = []
-    for m in range(len(MASKS)):
-        at, h = seed_hashes(whole, m)
-        near = index.maybe[h >> np.uint64(42)]
-        at, h = at[near], h[near]
-        left, right = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
+def all_seeds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = [seed_hashes(codes, m) for m in range(len(MASKS))]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+class Item:
+    """An item's words and seeds, the seeds sorted by hash, and which of them belong to common clauses."""
+
+    def __init__(self, codes: np.ndarray, common: np.ndarray):
+        self.codes = codes
+        at, h = all_seeds(codes)
+        order = np.lexsort((at, h))
+        self.at, self.hashes = at[order], h[order]
+        self.common = np.isin(self.hashes, common)
+        self.least = min(LEAST_PASSAGE, max(SPAN, len(codes) - 2))
+
+    def share_in(self, codes: np.ndarray, doc_at: np.ndarray, hashes: np.ndarray) -> float:
+        """The share of the item's words in the best two passages of a text, in the item's order.
+
+        A common clause adds to a passage of the item's own words beside it, but makes none.
+        """
+        left, right = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         n = right - left
-        at, left, n = at[n > 0], left[n > 0], n[n > 0]
-        entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(left.dtype), n) + np.arange(n.sum()) if len(n) else left
-        out.append((np.repeat(at, n), entry))
-    at, entry = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-    text = np.searchsorted(start, at, "right") - 1
-    return ids, text, index.owner[entry], at - start[text], index.position[entry], index.common[entry]
+        if not n.any():
+            return 0.0
+        at = np.repeat(doc_at, n)
+        entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item_at, own = self.at[entry], ~self.common[entry]
+        order = np.argsort(at - item_at, kind="stable")
+        at, item_at, own = at[order], item_at[order], own[order]
+        equal = self.codes[item_at[:, None] + np.arange(SPAN)] == codes[at[:, None] + np.arange(SPAN)]
+        passages = []  # length, first and last word in the item, first word in the text
+        cuts = np.flatnonzero(np.diff(at - item_at) > DRIFT) + 1
+        for begin, end in zip([0, *cuts], [*cuts, len(at)]):
+            here = item_at[begin:end]
+            if len(np.unique((here[own[begin:end], None] + np.arange(SPAN)))) < self.least:
+                continue
+            steps = np.diff(np.sort(here))
+            length = SPAN + int(np.where(steps <= BRIDGE, steps, SPAN).sum())
+            matched = len(np.unique((here[:, None] + np.arange(SPAN))[equal[begin:end]]))
+            if matched >= LEAST_EQUAL * length:
+                passages.append((length, int(here.min()), int(here.max()) + SPAN, int(at[begin:end].min())))
+        if not passages:
+            return 0.0
+        first = max(passages)
+        more = 0
+        for length, low, high, text_low in passages:
+            if (low - first[1]) * (text_low - first[3]) > 0:
+                more = max(more, length - max(0, min(high, first[2]) - max(low, first[1])))
+        return min(1.0, (first[0] + more) / len(self.codes))
+
+
+def item_texts(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``item_id``, ``text_key`` of each item; ``text_key``, ``codes``, ``common`` of each distinct item text; and ``hash``, ``text_key`` of all seeds, and of those that are a text's own.
+
+    Items with the same words are one text, so an item that several suites repeat keeps its
+    seeds. ``common`` lists the hashes that ``COMMON_ITEMS`` texts or more share, counted
+    over all items; of an item with few other seeds, as where its near copies are items
+    too, none counts as common. Items shorter than a seed have no text.
+    """
 
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes()
+        for batch in batches:
+            own = [codes.of(t) for t in batch["text"]]
+            yield pd.DataFrame({"item_id": batch["item_id"], "codes": [c.astype("<u8").tobytes() for c in own]})
 
-def shares(index: ItemIndex, ids: list[np.ndarray], text: np.ndarray, item: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text and item with a passage: their numbers, and the share of the item's words in the best two passages.
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, codes in zip(batch["text_key"], batch["codes"], strict=True):
+                h = np.unique(all_seeds(np.frombuffer(codes, "<u8"))[1])
+                yield pd.DataFrame({"text_key": key, "hash": h.view(np.int64)})
 
-    A common clause adds to a passage of the item's own words beside it, but makes none.
+    held = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text <> ''").distinct()
+    coded = cut_lineage(held.mapInPandas(encode, "item_id bigint, codes binary").where(F.octet_length("codes") >= 8 * SPAN).select("item_id", "codes", F.xxhash64("codes").alias("text_key")))
+    texts = coded.groupBy("text_key").agg(F.min("codes").alias("codes"))
+    every = cut_lineage(texts.mapInPandas(seeds, "text_key bigint, hash bigint"))
+    shared = every.groupBy("hash").agg(F.count("*").alias("texts")).where(F.col("texts") >= COMMON_ITEMS).select("hash", F.lit(True).alias("common"))
+    flagged = every.join(shared, "hash", "left").groupBy("text_key").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("common"), F.col("hash"))).alias("common"))
+    common = F.when(F.size("common") <= (1 - LEAST_OWN) * F.col("n"), F.col("common")).otherwise(F.array().cast("array<bigint>"))
+    kept = flagged.select("text_key", common.alias("common"))
+    own = every.join(kept, "text_key").where(~F.array_contains("common", F.col("hash"))).select("hash", "text_key")
+    return coded.select("item_id", "text_key"), texts.join(kept, "text_key"), every, own
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the column ``hash`` with two probes, as bytes, and its size as a power of two.
+
+    Spark builds it in pieces of 4 KB; ``MOST_BITS`` bounds what reaches the driver.
     """
-    pair, diagonal = text.astype(np.int64) * len(index.item_ids) + item, doc_at - item_at
-    order = np.lexsort((diagonal, pair))
-    p, d = pair[order], diagonal[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (d[1:] - d[:-1] > DRIFT)
-    passage = np.cumsum(new) - 1
-    resort = np.lexsort((item_at[order], passage))
-    order, passage = order[resort], passage[resort]
-    at = item_at[order].astype(np.int64)
-    first = np.concatenate([[True], passage[1:] != passage[:-1]])
-    step = np.diff(at, prepend=0)
-    length = np.bincount(passage, weights=np.where(first, SPAN, np.where(step <= BRIDGE, step, SPAN)))
-
-    offsets = np.arange(SPAN)
-    alone = ~common[order]
-    own = np.bincount(np.unique((passage[alone, None] << 24) + at[alone, None] + offsets) >> 24, minlength=len(length))
-
-    # words under the seeds that are equal, each item position once
-    item_start = np.cumsum([0, *(len(t) for t in index.tokens)])
-    item_words = np.concatenate([*index.tokens, np.zeros(1, np.uint64)])
-    doc_start = np.cumsum([0, *(len(t) for t in ids)])
-    doc_words = np.concatenate([*ids, np.zeros(1, np.uint64)])
-    equal = item_words[(item_start[item[order]] + at)[:, None] + offsets] == doc_words[(doc_start[text[order]] + doc_at[order])[:, None] + offsets]
-    spots = np.unique(((passage[:, None] << 24) + at[:, None] + offsets)[equal])
-    matched = np.bincount(spots >> 24, minlength=len(length))
-
-    owner = pair[order][first]
-    good = (own >= LEAST_PASSAGE) & (matched >= LEAST_EQUAL * length)
-    owner, length = owner[good], length[good]
-    best = np.lexsort((-length, owner))
-    owner, length = owner[best], length[best]
-    top = np.arange(len(owner)) - np.searchsorted(owner, owner) < 2
-    pairs, group = np.unique(owner[top], return_inverse=True)
-    words_in = np.bincount(group, weights=length[top], minlength=len(pairs))
-    text_no, item_no = np.divmod(pairs, len(index.item_ids))
-    return text_no, item_no, np.minimum(1.0, words_in / np.diff(item_start)[item_no])
+    n = seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (n << BITS_PER_SEED).bit_length()))
+    pieces = seeds.select(F.explode(F.array(F.expr(f"(hash & {(1 << bits) - 1}L) + 1"), F.shiftrightunsigned("hash", 64 - bits) + 1)).alias("p"))
+    rows = pieces.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")).collect()
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for r in rows:
+        piece = np.frombuffer(r.bitmap, np.uint8)
+        begin = (r.bucket - 1) * 4096
+        out[begin : begin + 4096] = piece[: len(out) - begin]
+    return out, bits
+
+
+def passing(filter_bytes: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter lets pass."""
+    test = lambda p: (filter_bytes[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
+    first = np.flatnonzero(test(h & np.uint64((1 << bits) - 1)))
+    return first[test(h[first] >> np.uint64(64 - bits)).astype(bool)]
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -170,41 +207,63 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield begin, texts[begin:]
 
 
+def document_hits(docs: DataFrame, filter_bytes: np.ndarray, bits: int) -> DataFrame:
+    """``id``, ``key``, ``codes``, ``at``, ``hash``: the documents with hashes that pass the filter, their words, and these hashes."""
+    shared = docs.sparkSession.sparkContext.broadcast((filter_bytes, bits))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, gap = Codes(), np.zeros(SPAN, np.uint64)
+        for batch in batches:
+            ids, keys, every = batch["id"].to_numpy(), batch["key"].to_numpy(), batch["t"].tolist()
+            for begin, texts in chunks(every):
+                own = [codes.of(t) for t in texts]
+                whole = np.concatenate([x for c in own for x in (c, gap)])
+                start = np.cumsum([0, *(len(c) + SPAN for c in own)])
+                at, h = all_seeds(whole)
+                near = passing(*shared.value, h)
+                at, h = at[near], h[near]
+                order = np.argsort(at, kind="stable")
+                at, h = at[order], h[order]
+                cuts = np.searchsorted(at, start)
+                rows = [(ids[begin + k], keys[begin + k], own[k].astype("<u8").tobytes(), at[a:b] - start[k], h[a:b].view(np.int64)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield pd.DataFrame(rows, columns=["id", "key", "codes", "at", "hash"])
+
+    return docs.mapInPandas(search, "id bigint, key bigint, codes binary, at array<bigint>, hash array<bigint>")
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """``doc_id``, ``item_id``, ``share``: documents with at least ``least_share`` of an item's words.
 
     Null and empty texts, null ids and items shorter than a seed match nothing. A repeated
-    document or item id gives one row, with its largest share. Documents are searched whole,
-    where they lie: only the found rows are shuffled. Items are broadcast, at most
-    ``ITEMS_AT_ONCE`` at a time; a larger set is split by the hash of the item id, and each
-    part searches the documents once.
+    document or item id gives one row, with its largest share; items with equal words are each
+    reported. Documents are read once and whole, where they lie. A checked number of item
+    seeds is broadcast to the documents' hashes, more are joined by a shuffle that is salted
+    by document, so a passage that a third of all documents hold is spread over many tasks.
     """
-    spark = docs.sparkSession
-    held = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text <> ''").distinct()
-    parts = max(1, -(-held.count() // (ITEMS_AT_ONCE * 4 // 5)))
-    own = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t")).where("id is not null and t <> ''")
-
-    def search_for(part: DataFrame) -> DataFrame:
-        rows = bounded_rows(part, ITEMS_AT_ONCE)
-        if rows is None:
-            raise ValueError("one part of the items exceeds the broadcast bound")
-        shared = spark.sparkContext.broadcast(ItemIndex.build(sorted((r.item_id, r.text) for r in rows)))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for batch in batches:
-                doc_ids = batch["id"].to_numpy()
-                for begin, texts in chunks(batch["t"].tolist()):
-                    hits = hits_of_batch(index, texts)
-                    if len(hits[1]):
-                        text_no, item_no, share = shares(index, *hits)
-                        keep = share >= least_share
-                        yield pd.DataFrame({"doc_id": doc_ids[begin + text_no[keep]], "item_id": index.item_ids[item_no[keep]], "share": share[keep]})
-
-        return own.mapInPandas(search, "doc_id bigint, item_id bigint, share double")
-
-    found = search_for(held) if parts == 1 else None
-    for k in range(parts if parts > 1 else 0):
-        one = search_for(held.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k))
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    members, texts, every, own = item_texts(items)
+    own = cut_lineage(own)
+    held = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("t")).where("id is not null and t <> ''")
+    found = cut_lineage(document_hits(held, *seed_filter(every)).dropDuplicates(["id", "key"]))
+    hashes = found.select("id", "key", F.explode(F.array_distinct("hash")).alias("hash"))
+    seeds = broadcast_if_small(own, FEW)
+    if seeds is own:
+        hashes = hashes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        seeds = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = hashes.join(seeds, [c for c in ("hash", "salt") if c in hashes.columns]).select("id", "key", "text_key").distinct()
+    rows = pairs.join(found, ["id", "key"]).join(broadcast_if_small(texts.select("text_key", F.col("codes").alias("item_codes"), "common"), FEW_TEXTS), "text_key")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, Item] = {}
+        for batch in batches:
+            shares = []
+            for key, item_codes, common, codes, at, h in zip(batch["text_key"], batch["item_codes"], batch["common"], batch["codes"], batch["at"], batch["hash"], strict=True):
+                if key not in known:
+                    if len(known) > 10_000:
+                        known.clear()
+                    known[key] = Item(np.frombuffer(item_codes, "<u8"), np.asarray(common, np.int64).view(np.uint64))
+                shares.append(known[key].share_in(np.frombuffer(codes, "<u8"), np.asarray(at), np.asarray(h, np.int64).view(np.uint64)))
+            yield pd.DataFrame({"doc_id": batch["id"], "text_key": batch["text_key"], "share": shares})
+
+    shares = rows.select("id", "text_key", "item_codes", "common", "codes", "at", "hash").mapInPandas(verify, "doc_id bigint, text_key bigint, share double")
+    kept = shares.where(F.col("share") >= least_share).join(members, "text_key")
+    return kept.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

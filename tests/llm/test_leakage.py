@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexflow.llm import leakage
-from lexflow.llm.leakage import LEAST_SHARE, ItemIndex, hits_of_batch, leaked_items, shares, words
+from lexflow.llm.leakage import LEAST_SHARE, Codes, Item, all_seeds, leaked_items, passing, seed_filter, words
 from lexflow.runtime import table
 
 VOCABULARY = [f"w{k}" for k in range(4000)]
@@ -19,14 +19,14 @@ def changed(rng, passage, rate):
 
 
 def test_planted_passages(spark):
-    """Whole items, halves with replaced words and two swapped passages are found; short phrases and shared clauses are not."""
+    """Whole items, halves with replaced words and two passages are found; short phrases and shared clauses are not."""
     rng = random.Random(3)
     clause = text(rng, 20)
     items = [(i, text(rng, 50) + " " + clause + " " + text(rng, 50)) for i in range(20)]
     docs, want = [], set()
     for i, t in items:
         w = words(t)
-        cases = {"whole": w, "half": changed(rng, w[10:70], 0.12), "two": w[90:] + text(rng, 30).split() + w[:30], "phrase": w[5:20], "clause": clause.split(), "upper": [x.upper() + "," for x in w[:60]], "gap": w[:25] + w[28:70]}
+        cases = {"whole": w, "half": changed(rng, w[10:70], 0.12), "two": w[:30] + text(rng, 30).split() + w[90:], "phrase": w[5:20], "clause": clause.split(), "upper": [x.upper() + "," for x in w[:60]], "gap": w[:25] + w[28:70]}
         for k, (kind, part) in enumerate(cases.items()):
             docs.append((100 * i + k, text(rng, 200) + " " + " ".join(part) + " " + text(rng, 100)))
             if kind not in ("phrase", "clause"):
@@ -38,11 +38,32 @@ def test_planted_passages(spark):
     assert leaked_items(d.limit(0), e).count() == 0 and leaked_items(d, e.limit(0)).count() == 0
 
 
-def test_parts_give_the_same(spark, monkeypatch):
+def test_seeds_by_shuffle_give_the_same(spark, monkeypatch):
     docs, items = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "eval_items")
-    whole = {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()}
-    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 150)
-    assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()} == whole
+    whole = {(r.doc_id, r.item_id, r.share) for r in leaked_items(docs, items).collect()}
+    monkeypatch.setattr(leakage, "FEW", 0)
+    monkeypatch.setattr(leakage, "FEW_TEXTS", 0)
+    assert {(r.doc_id, r.item_id, r.share) for r in leaked_items(docs, items).collect()} == whole
+
+
+def test_repeated_items_shared_clauses_and_short_items(spark):
+    """Equal items are each found, near copies too; a clause that six items share is no case alone; an item of 13 words is found whole."""
+    rng = random.Random(11)
+    same, near, clause, short, signs = text(rng, 60), text(rng, 60).split(), text(rng, 30), text(rng, 13), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    copies = [" ".join(near[:k] + ["changed"] + near[k + 1 :]) for k in (5, 25, 45, 55)]
+    items = [(1, same), (2, same.upper()), (3, same + ".")] + [(10 + k, t) for k, t in enumerate(copies)] + [(20 + k, clause + " " + text(rng, 20)) for k in range(6)] + [(30, short), (31, signs)]
+    around = lambda t: text(rng, 40) + " " + t + " " + text(rng, 40)
+    docs = [(1, around(same)), (2, around(" ".join(near))), (3, around(clause)), (4, around(short)), (5, "前言" + signs + "后语"), (6, around(" ".join(short.split()[:8])))]
+    got = {(r.doc_id, r.item_id) for r in leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 10), (2, 11), (2, 12), (2, 13), (4, 30), (5, 31)}
+
+
+def test_filter_lets_all_seeds_pass(spark):
+    codes = Codes()
+    own = np.unique(all_seeds(codes.of(text(random.Random(1), 400)))[1])
+    other = np.unique(all_seeds(codes.of(text(random.Random(2), 4000)))[1])
+    bits = seed_filter(spark.createDataFrame([(int(h),) for h in own.view(np.int64)], "hash long"))
+    assert len(passing(*bits, own)) == len(own) and len(passing(*bits, other)) < 5 + len(np.intersect1d(own, other))
 
 
 def brute_share(item, doc):
@@ -80,9 +101,9 @@ def test_against_brute_force_on_tables(spark):
 def test_masks_tolerate_replaced_words():
     rng = random.Random(5)
     item = text(rng, 80)
-    index = ItemIndex.build([(1, item)])
+    codes = Codes()
+    known = Item(codes.of(item), np.zeros(0, np.uint64))
     for rate, least in ((0.0, 0.95), (0.1, 0.8), (0.2, 0.5)):
-        doc = " ".join(changed(rng, words(item), rate))
-        hits = hits_of_batch(index, [doc])
-        assert shares(index, *hits)[2].max() >= least and len(np.unique(hits[1])) == 1
+        doc = codes.of(" ".join(changed(rng, words(item), rate)))
+        assert known.share_in(doc, *all_seeds(doc)) >= least
     assert LEAST_SHARE < 0.5
