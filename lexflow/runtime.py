@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,26 +14,33 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder; a cluster names a shared one in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where neither the session nor its context has one (local tests) a folder under
-    the SQL warehouse is set.
+    Only a local session (tests, one machine) may go without: it gets a folder under the SQL
+    warehouse. On a cluster a missing setting is an error, as a machine's own folder is lost
+    with the machine.
     """
     context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isDefined():
-        return context.getCheckpointDir().get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and context.getCheckpointDir().isDefined():
+        folder = context.getCheckpointDir().get()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder and read back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder as a compressed table and read back.
+
+    Unlike a checkpoint of rows it is columnar and has statistics, so later joins read only
+    the columns they need and Spark can choose how to join.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, most_rows: int) -> list | None:
