@@ -64,13 +64,21 @@ class Codes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 2_000_000:
             self.clear()
-        self[word] = code = zlib.crc32(word.encode("utf-8", "surrogatepass")) + 1
+        self[word] = code = zlib.crc32(word.encode("utf-8", "surrogatepass")) or 1
         return code
 
     def of(self, text: str | None) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words(text)), np.uint64)
 
 
+def packed(codes: np.ndarray) -> bytes:
+    return codes.astype("<u4").tobytes()
+
+
+def unpacked(codes: bytes) -> np.ndarray:
+    return np.frombuffer(codes, "<u4").astype(np.uint64)
+
+
 def seed_hashes(codes: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """Start positions whose kept words are all there, and their hashes. Code 0 stands for no word."""
     n = len(codes) - SPAN + 1
@@ -151,16 +159,16 @@ def item_texts(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
         codes = Codes()
         for batch in batches:
             own = [codes.of(t) for t in batch["text"]]
-            yield pd.DataFrame({"item_id": batch["item_id"], "codes": [c.astype("<u8").tobytes() for c in own]})
+            yield pd.DataFrame({"item_id": batch["item_id"], "codes": [packed(c) for c in own]})
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, codes in zip(batch["text_key"], batch["codes"], strict=True):
-                h = np.unique(all_seeds(np.frombuffer(codes, "<u8"))[1])
+                h = np.unique(all_seeds(unpacked(codes))[1])
                 yield pd.DataFrame({"text_key": key, "hash": h.view(np.int64)})
 
     held = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text <> ''").distinct()
-    coded = cut_lineage(held.mapInPandas(encode, "item_id bigint, codes binary").where(F.octet_length("codes") >= 8 * SPAN).select("item_id", "codes", F.xxhash64("codes").alias("text_key")))
+    coded = cut_lineage(held.mapInPandas(encode, "item_id bigint, codes binary").where(F.octet_length("codes") >= 4 * SPAN).select("item_id", "codes", F.xxhash64("codes").alias("text_key")))
     texts = coded.groupBy("text_key").agg(F.min("codes").alias("codes"))
     every = cut_lineage(texts.mapInPandas(seeds, "text_key bigint, hash bigint"))
     shared = every.groupBy("hash").agg(F.count("*").alias("texts")).where(F.col("texts") >= COMMON_ITEMS).select("hash", F.lit(True).alias("common"))
@@ -207,28 +215,28 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield begin, texts[begin:]
 
 
-def document_hits(docs: DataFrame, filter_bytes: np.ndarray, bits: int) -> DataFrame:
-    """``id``, ``key``, ``codes``, ``at``, ``hash``: the documents with hashes that pass the filter, their words, and these hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast((filter_bytes, bits))
+def document_hits(docs: DataFrame, own: tuple[np.ndarray, int], every: tuple[np.ndarray, int]) -> DataFrame:
+    """``id``, ``key``, ``codes``, ``at``, ``hash``: the documents with a hash that passes the filter of own seeds; their words, and their hashes that pass that of all seeds."""
+    shared = docs.sparkSession.sparkContext.broadcast((own, every))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, gap = Codes(), np.zeros(SPAN, np.uint64)
         for batch in batches:
-            ids, keys, every = batch["id"].to_numpy(), batch["key"].to_numpy(), batch["t"].tolist()
-            for begin, texts in chunks(every):
-                own = [codes.of(t) for t in texts]
-                whole = np.concatenate([x for c in own for x in (c, gap)])
-                start = np.cumsum([0, *(len(c) + SPAN for c in own)])
+            ids, keys, texts_of = batch["id"].to_numpy(), batch["key"].to_numpy(), batch["t"].tolist()
+            for begin, texts in chunks(texts_of):
+                held = [codes.of(t) for t in texts]
+                whole = np.concatenate([x for c in held for x in (c, gap)])
+                start = np.cumsum([0, *(len(c) + SPAN for c in held)])
                 at, h = all_seeds(whole)
-                near = passing(*shared.value, h)
-                at, h = at[near], h[near]
-                order = np.argsort(at, kind="stable")
+                near = passing(*shared.value[1], h)
+                order = near[np.argsort(at[near], kind="stable")]
                 at, h = at[order], h[order]
                 cuts = np.searchsorted(at, start)
-                rows = [(ids[begin + k], keys[begin + k], own[k].astype("<u8").tobytes(), at[a:b] - start[k], h[a:b].view(np.int64)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                known = np.unique(np.searchsorted(start, at[passing(*shared.value[0], h)], "right") - 1)
+                rows = [(ids[begin + k], keys[begin + k], packed(held[k]), at[a:b] - start[k], h[a:b].view(np.int64)) for k, a, b in zip(known, cuts[known], cuts[known + 1])]
                 yield pd.DataFrame(rows, columns=["id", "key", "codes", "at", "hash"])
 
-    return docs.mapInPandas(search, "id bigint, key bigint, codes binary, at array<bigint>, hash array<bigint>")
+    return docs.mapInPandas(search, "id bigint, key bigint, codes binary, at array<int>, hash array<bigint>")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
@@ -243,7 +251,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     members, texts, every, own = item_texts(items)
     own = cut_lineage(own)
     held = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("t")).where("id is not null and t <> ''")
-    found = cut_lineage(document_hits(held, *seed_filter(every)).dropDuplicates(["id", "key"]))
+    found = cut_lineage(document_hits(held, seed_filter(own), seed_filter(every)))
     hashes = found.select("id", "key", F.explode(F.array_distinct("hash")).alias("hash"))
     seeds = broadcast_if_small(own, FEW)
     if seeds is own:
@@ -260,8 +268,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                 if key not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[key] = Item(np.frombuffer(item_codes, "<u8"), np.asarray(common, np.int64).view(np.uint64))
-                shares.append(known[key].share_in(np.frombuffer(codes, "<u8"), np.asarray(at), np.asarray(h, np.int64).view(np.uint64)))
+                    known[key] = Item(unpacked(item_codes), np.asarray(common, np.int64).view(np.uint64))
+                shares.append(known[key].share_in(unpacked(codes), np.asarray(at), np.asarray(h, np.int64).view(np.uint64)))
             yield pd.DataFrame({"doc_id": batch["id"], "text_key": batch["text_key"], "share": shares})
 
     shares = rows.select("id", "text_key", "item_codes", "common", "codes", "at", "hash").mapInPandas(verify, "doc_id bigint, text_key bigint, share double")
