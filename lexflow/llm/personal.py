@@ -1,8 +1,9 @@
 """Personal information inside free text.
 
-Regular expressions propose spans, also across wrapped and quoted lines; validators (Luhn,
-mod-97, national check digits) and nearby context words adjust each span's score; spans above
-a threshold are reported by line or replaced by typed placeholders. Person names come from a
+Regular expressions propose spans, also across wrapped and quoted lines. Each span has a
+score: its form, plus the words before it that announce such a value or speak against it, plus
+its check digits (Luhn, mod-97, national rules), which lower it where they fail. Spans above a
+threshold are reported by line or replaced by typed placeholders. Person names come from a
 lexicon that Spark gathers from all mail headers and mailboxes.
 """
 
@@ -10,41 +11,48 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_rows
+from ..runtime import bounded_rows, cut_lineage
 from .garbled import CYRILLIC, LATIN, MULTI, TWICE, _garble
 
 FIELDS = ("sender", "to_addrs", "cc_addrs", "body")
 THRESHOLD = 1.0
-MOST_NAMES = 2_000_000  # lexicon rows that are broadcast
+# What is added to the score of a form.
+CONTEXT, AGAINST = 0.9, -0.6  # words before it that announce its kind, or another kind of number
+VALID, INVALID = 0.5, -0.3  # national check digits
+SURE_VALID, SURE_INVALID = 0.6, -0.6  # Luhn and mod-97
+MOST_NAMES = 500_000  # lexicon rows that are broadcast; more are joined to the words of each message
+LEAST_NAMED = 2  # times that a header names a person before the name counts everywhere
+SALTS = 64
 
 S = r"(?:[  ]|\n)"  # a space or a wrapped line
 _EMAIL = re.compile(r"[\w.+'-]+@[\w-]+(?:\.[\w-]+)+")
 _SPELT = re.compile(r"[\(\[{] ?(?:at|ät|arroba|собака) ?[\)\]}]", re.I)
 _SPELT_EMAIL = re.compile(r"\b[\w.+-]{2,} ?[\(\[{] ?(?:at|ät|arroba|собака) ?[\)\]}] ?[\w-]+(?:(?:\.| ?[\(\[{] ?(?:dot|punkt|punto|точка) ?[\)\]}] ?)[\w-]+)+", re.I)
 
-# Numbers issued to persons. Name, pattern, score by form alone, score with its context word before.
+# Numbers issued to persons. Name, pattern, score of the form, words that announce it.
 _IDS = [
     ("ssn", rf"(?<![\d-])\d{{3}}(?:-|{S}|-\n)\d{{2}}(?:-|{S}|-\n)\d{{4}}(?![\d-])", 0.6, r"SSN|social\s+security|security\s+number"),
     ("nino", rf"(?<![A-Z0-9])[A-Z]{{2}}{S}?\d{{2}}{S}?\d{{2}}{S}?\d{{2}}{S}?[A-D](?![A-Z0-9])", 1.0, r"NI\s+number|national\s+insurance|NINO"),
     ("licence", r"(?<![A-Z0-9])[A-Z]\d{3}-\d{4}-\d{4}(?![\d-])", 1.0, r"licen[cs]e"),
-    ("dni", r"(?<![A-Z0-9])\d{8}-?[A-Z](?![A-Z0-9])", 0.9, r"DNI|NIF"),
-    ("nie", r"(?<![A-Z0-9])[XYZ]-?\d{7}-?[A-Z](?![A-Z0-9])", 1.0, r"NIE"),
-    ("cpf", r"(?<![\d.])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\d-])", 1.0, r"CPF"),
-    ("rg", r"(?<![\d.])\d{2}\.\d{3}\.\d{3}-[\dXx](?![\d-])", 1.0, r"RG"),
-    ("nir", rf"(?<!\d)\d{S}\d{{2}}{S}\d{{2}}{S}\d{{2}}{S}\d{{3}}{S}\d{{3}}{S}\d{{2}}(?!\d)|(?<!\d)[12]\d{{14}}(?!\d)", 1.0, r"NIR|sécurité\s+sociale"),
-    ("snils", r"(?<![\d-])\d{3}-\d{3}-\d{3} \d{2}(?!\d)", 1.0, r"СНИЛС"),
-    ("ru_passport", rf"(?<!\d)\d{{2}}{S}\d{{2}}{S}\d{{6}}(?!\d)", 0.8, r"паспорт"),
-    ("inn", r"(?<![\d.,-])\d{12}(?![\d-])|(?<![\d.,-])\d{10}(?![\d-])", 0.0, r"ИНН"),
-    ("tax_id", rf"(?<![\d-])\d{{2}}{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}(?!\d)|(?<![\d.-])\d{{11}}(?![\d-])", 0.4, r"Steuer-?ID|Steueridentifikationsnummer|IdNr\.?|Sozialversicherungsnummer"),
-    ("document", r"(?<![A-Z0-9-])(?=[A-Z0-9]*\d[A-Z0-9]*\d)[A-Z0-9]{6,14}(?![A-Z0-9-])", 0.0, r"passport(?:\s+no\.?)?|Personalausweis|Reisepass|Ausweis|carte\s+d\S{1,4}identit\S{1,4}(?:\s+n\S{1,3})?|passeport(?:\s+n\S{1,3})?|pasaporte|passaporte|паспорт|CNI|identity\s+card"),
-    ("iban", r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Z0-9])", 0.0, r"IBAN"),
-    ("card", r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])", 0.0, r"card|Karte|carte|tarjeta|cartão|карт"),
+    ("dni", r"(?<![A-Z0-9])\d{8}-?[A-Z](?![A-Z0-9])", 0.6, r"DNI|NIF"),
+    ("nie", r"(?<![A-Z0-9])[XYZ]-?\d{7}-?[A-Z](?![A-Z0-9])", 0.8, r"NIE"),
+    ("cpf", r"(?<![\d.])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\d-])", 0.8, r"CPF"),
+    ("rg", r"(?<![\d.])\d{2}\.\d{3}\.\d{3}-[\dXx](?![\d-])", 0.6, r"RG"),
+    ("nir", rf"(?<!\d)\d{S}\d{{2}}{S}\d{{2}}{S}\d{{2}}{S}\d{{3}}{S}\d{{3}}{S}\d{{2}}(?!\d)|(?<!\d)[12]\d{{14}}(?!\d)", 0.7, r"NIR|sécurité\s+sociale"),
+    ("snils", r"(?<![\d-])\d{3}-\d{3}-\d{3} \d{2}(?!\d)", 0.7, r"СНИЛС"),
+    ("ru_passport", rf"(?<!\d)\d{{2}}{S}\d{{2}}{S}\d{{6}}(?!\d)", 0.5, r"паспорт"),
+    ("inn", r"(?<![\d.,-])\d{12}(?![\d-])|(?<![\d.,-])\d{10}(?![\d-])", 0.45, r"ИНН"),
+    ("tax_id", rf"(?<![\d-])\d{{2}}{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}(?!\d)|(?<![\d.-])\d{{11}}(?![\d-])", 0.45, r"Steuer-?ID|Steueridentifikationsnummer|IdNr\.?|Sozialversicherungsnummer"),
+    ("document", r"(?<![A-Z0-9-])(?=[A-Z0-9]*\d[A-Z0-9]*\d)[A-Z0-9]{6,14}(?![A-Z0-9-])", 0.2, r"passport(?:\s+no\.?)?|Personalausweis|Reisepass|Ausweis|carte\s+d\S{1,4}identit\S{1,4}(?:\s+n\S{1,3})?|passeport(?:\s+n\S{1,3})?|pasaporte|passaporte|паспорт|CNI|identity\s+card"),
+    ("iban", r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Z0-9])", 0.4, r"IBAN"),
+    ("card", r"(?<![\d-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])", 0.4, r"card|Karte|carte|tarjeta|cartão|карт"),
 ]
 _ID_PATTERNS = {name: re.compile(pattern) for name, pattern, _, _ in _IDS}
 # Context words before a number, lower case, and the kinds of number they announce.
@@ -56,8 +64,9 @@ _CONTEXT_WORDS = {
     "iban": "iban", "card": "card", "karte": "card", "carte": "card", "tarjeta": "card", "cartão": "card", "карт": "card",
 }
 _START = re.compile(rf"(?<![^\W_])(?=[A-Z]{{1,2}}{S}?\d|[A-Z]?\d[\dA-Z. -])")
-_ALONE = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, alone, _ in _IDS if alone >= 0.6 or name in ("iban", "card")))
-_ALONE_SCORE = {name: alone for name, _, alone, _ in _IDS}
+_ALONE = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, form, _ in _IDS if form + SURE_VALID >= THRESHOLD and name not in ("inn", "tax_id", "ru_passport")))
+_FORM_SCORE = {name: form for name, _, form, _ in _IDS}
+_OTHER_NUMBER = re.compile(r"(?:\bINV|invoice|factura|facture|fatura|Rechnung|file|docket|case|register|HRB|Aktenzeichen|Az\.|ref(?:erence)?\.?|order|account|Konto|дело|сч[её]т)[\s.:#/№n°ºo]*$", re.I)
 
 _PHONE = re.compile(
     rf"(?<![\w.,+/-])(?:"
@@ -153,12 +162,37 @@ def checksum(kind: str, text: str) -> bool | None:
         return "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23] == text[-1]
     if kind == "nir":
         return 97 - int(digits[:13]) % 97 == int(digits[13:])
+    weighed = lambda d, weights: sum(int(x) * w for x, w in zip(d, weights))
     if kind == "cpf":
-        check = lambda d: (sum(int(x) * w for x, w in zip(d, range(len(d) + 1, 1, -1))) * 10) % 11 % 10
+        check = lambda d: weighed(d, range(len(d) + 1, 1, -1)) * 10 % 11 % 10
         return check(digits[:9]) == int(digits[9]) and check(digits[:10]) == int(digits[10])
+    if kind == "snils":
+        return weighed(digits[:9], range(9, 0, -1)) % 101 % 100 == int(digits[9:])
+    if kind == "inn" and len(digits) == 10:
+        return weighed(digits, (2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == int(digits[9])
+    if kind == "inn":
+        return weighed(digits, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == int(digits[10]) and weighed(digits, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == int(digits[11])
+    if kind == "tax_id":
+        product = 10
+        for d in digits[:10]:
+            product = ((int(d) + product) % 10 or 10) * 2 % 11
+        return (11 - product) % 10 == int(digits[10])
     return None
 
 
+def id_score(kind: str, text: str, announced: bool, against: bool) -> float:
+    """Score of a number issued to a person: form, words before it, check digits."""
+    score = _FORM_SCORE[kind] + CONTEXT * announced + AGAINST * against
+    if kind == "ssn" and text.count("-") == 2:
+        score += 0.5
+    valid = checksum(kind, text)
+    if valid is None:
+        return score
+    if kind in ("card", "iban"):
+        return score + (SURE_VALID if valid else SURE_INVALID)
+    return score + (VALID if valid else INVALID)
+
+
 class Names:
     """Parts of person names, lower-case, also as wrong decoding shows them."""
 
@@ -259,26 +293,17 @@ def _names_from(given: set[str], parts: set[str]) -> Names:
 
 
 def _id_at(text: str, at: int, before: str) -> re.Match | None:
-    """The number issued to a person that begins at ``at``: its score reaches the threshold by form, context and check digits."""
+    """The number issued to a person that begins at ``at``, where its score reaches the threshold."""
     low = before.lower()
+    against = bool(_OTHER_NUMBER.search(before))
     for word, kinds in _CONTEXT_WORDS.items():
         place = low.rfind(word)
         if place >= 0 and len(low) - place - len(word) <= 9 and not (place and low[place - 1].isalpha() and word in ("rg", "nie", "dni", "nir", "nif", "ssn", "cni")):
             for kind in kinds.split():
-                if (m := _ID_PATTERNS[kind].match(text, at)) and 1.0 + _ALONE_SCORE[kind] >= THRESHOLD:
+                if (m := _ID_PATTERNS[kind].match(text, at)) and id_score(kind, m[0], True, against) >= THRESHOLD:
                     return m
     m = _ALONE.match(text, at)
-    if not m:
-        return None
-    name, value = m.lastgroup, m[0]
-    score = _ALONE_SCORE[name]
-    if name in ("card", "iban"):
-        score += 1.0 if checksum(name, value) else -1.0
-    elif name == "ssn" and value.count("-") == 2:
-        score += 0.5
-    elif checksum(name, value):
-        score += 0.2
-    return m if score >= THRESHOLD else None
+    return m if m and id_score(m.lastgroup, m[0], False, against) >= THRESHOLD else None
 
 
 def spans_of(text: str, names: Names) -> list[tuple[int, int, str]]:
@@ -401,19 +426,69 @@ def header_names(value: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def lexicon(messages: DataFrame, mailboxes: DataFrame) -> Names:
-    """Names from all headers and mailboxes. Spark folds them; their number is checked before they are broadcast."""
+def lexicon(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:
+    """``part``, ``given``: parts of the names in all headers and mailboxes, also as wrong decoding shows them.
+
+    A part counts if headers name it ``LEAST_NAMED`` times or a mailbox has it. Spark folds
+    the parts, and tasks spell out their forms.
+    """
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = {p for v in batch["v"] for p in header_names(v)}
-            yield pd.DataFrame(sorted(seen), columns=["part", "given"])
+            seen: Counter = Counter()
+            for value, weight in zip(batch["v"], batch["weight"], strict=True):
+                for found in header_names(value):
+                    seen[found] += weight
+            yield pd.DataFrame([(*found, n) for found, n in seen.items()], columns=["part", "given", "n"])
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(form, given) for part, given in zip(batch["part"], batch["given"], strict=True) for form in set(Names._forms({part}))]
+            yield pd.DataFrame(rows, columns=["part", "given"])
+
+    values = messages.select(F.explode(F.array("sender", "to_addrs", "cc_addrs")).alias("v"), F.lit(1).alias("weight")).unionByName(mailboxes.select(F.col("display_name").alias("v"), F.lit(LEAST_NAMED).alias("weight"))).where("v is not null")
+    counted = values.mapInPandas(parts, "part string, given boolean, n bigint").groupBy("part").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("given"), F.col("n")).otherwise(0)).alias("given_n")).where(F.col("n") >= LEAST_NAMED)
+    spelt = counted.select("part", (2 * F.col("given_n") >= F.col("n")).alias("given")).mapInPandas(forms, "part string, given boolean")
+    return cut_lineage(spelt.groupBy("part").agg(F.bool_or("given").alias("given")))
+
+
+def _named(own: DataFrame, names: DataFrame):
+    """``own`` with the names to look for: a broadcast lexicon where its checked size allows, else a column of those names that each row's words have.
+
+    Beyond the bound the words of every message are joined to the lexicon, salted, as some
+    names stand in a third of all messages.
+    """
+    rows = bounded_rows(names, MOST_NAMES)
+    if rows is not None:
+        return own, own.sparkSession.sparkContext.broadcast(_names_from({r.part for r in rows if r.given}, {r.part for r in rows}))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                seen = {w for field in FIELDS if (text := getattr(row, field)) for line in (_flow(text)[0],) for m in _TOKEN.finditer(line) for w in _word_forms(m[0])}
+                out += [(row.msg_id, row.key, w) for w in seen]
+            yield pd.DataFrame(out, columns=["msg_id", "key", "part"])
+
+    keyed = own.withColumn("key", F.xxhash64(*FIELDS))
+    salt = F.pmod(F.xxhash64("msg_id"), F.lit(SALTS)).cast("int")
+    spread = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = keyed.mapInPandas(words, "msg_id bigint, key bigint, part string").withColumn("salt", salt).join(spread, ["part", "salt"])
+    per_row = known.groupBy("msg_id", "key").agg(F.collect_set(F.struct("part", "given")).alias("names"))
+    return keyed.join(per_row, ["msg_id", "key"], "left").drop("key"), None
+
+
+def _word_forms(raw: str) -> set[str]:
+    """What ``Names.spans`` looks up for a token."""
+    low = raw.strip(".'’_-–—").lower()
+    return {low, *low.split("-"), low[:-2] if low.endswith(("’s", "'s")) else low} - {""}
+
 
-    values = messages.select(F.explode(F.array("sender", "to_addrs", "cc_addrs")).alias("v")).where("v is not null").unionByName(mailboxes.select(F.col("display_name").alias("v")).where("v is not null"))
-    rows = bounded_rows(values.mapInPandas(parts, "part string, given boolean").groupBy("part").agg(F.count_if("given").alias("given"), F.count("*").alias("n")), MOST_NAMES)
-    if rows is None:
-        raise ValueError("the name lexicon exceeds its broadcast bound")
-    return Names({r.part for r in rows if 2 * r.given >= r.n}, {r.part for r in rows if 2 * r.given < r.n})
+def _lexicons(batch: pd.DataFrame, shared) -> list[Names]:
+    if shared is not None:
+        return [shared.value] * len(batch)
+    own = [n if n is not None else () for n in batch["names"]]
+    return [_names_from({x["part"] for x in n if x["given"]}, {x["part"] for x in n}) for n in own]
 
 
 def personal_information(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:
@@ -422,32 +497,29 @@ def personal_information(messages: DataFrame, mailboxes: DataFrame) -> DataFrame
     Null and blank fields hold none. Copies of a message count once: they are searched where
     they lie, and only what was found is shuffled. A message without id has no rows.
     """
-    shared = messages.sparkSession.sparkContext.broadcast(lexicon(messages, mailboxes))
+    own, shared = _named(messages.where("msg_id is not null").select("msg_id", *FIELDS), lexicon(messages, mailboxes))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value
         for batch in batches:
-            rows = []
+            rows, lexicons = [], _lexicons(batch, shared)
             for field in FIELDS:
-                for msg, text in zip(batch["msg_id"], batch[field], strict=True):
+                for msg, text, names in zip(batch["msg_id"], batch[field], lexicons, strict=True):
                     if text:
                         found = personal_lines(text, names)
                         rows += [(msg, field, n, k) for n, k in (found if field == "body" else {(1, k) for _, k in found})]
             yield pd.DataFrame(rows, columns=["msg_id", "field", "line_no", "kind"])
 
-    own = messages.where("msg_id is not null").select("msg_id", *FIELDS)
     return own.mapInPandas(search, "msg_id bigint, field string, line_no int, kind string").distinct()
 
 
 def redacted_messages(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """``msg_id`` and the four fields with typed placeholders, one row per message."""
-    shared = messages.sparkSession.sparkContext.broadcast(lexicon(messages, mailboxes))
+    own, shared = _named(messages.where("msg_id is not null").select("msg_id", *FIELDS), lexicon(messages, mailboxes))
 
     def hide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = shared.value
         for batch in batches:
-            yield pd.DataFrame({"msg_id": batch["msg_id"]} | {f: [redacted(t, names) for t in batch[f]] for f in FIELDS})
+            lexicons = _lexicons(batch, shared)
+            yield pd.DataFrame({"msg_id": batch["msg_id"]} | {f: [redacted(t, names) for t, names in zip(batch[f], lexicons, strict=True)] for f in FIELDS})
 
-    own = messages.where("msg_id is not null").select("msg_id", *FIELDS)
     hidden = own.mapInPandas(hide, "msg_id bigint, " + ", ".join(f"{f} string" for f in FIELDS))
     return hidden.groupBy("msg_id").agg(*(F.min(f).alias(f) for f in FIELDS))

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexflow.llm.personal import Names, checksum, header_names, luhn, mod_97, personal_information, personal_lines, redacted, redacted_messages
+from lexflow.llm import personal
+from lexflow.llm.personal import Names, checksum, header_names, id_score, luhn, mod_97, personal_information, personal_lines, redacted, redacted_messages
 from lexflow.runtime import table
 
 NAMES = Names({"kendra", "will", "june", "mark", "götz", "tobias", "арсений"}, {"lemley", "beixdale", "moranztev", "gerwald", "buxthorne", "kialdale-korncombe", "громухин"})
@@ -16,6 +17,8 @@ CASES = [
     ("gave passport no.\nJ21VL8815 as proof", [set(), {"id_number"}]),
     ("Steuer-ID 00 250 210 263; ИНН 000007482492; DNI 00726340-H; CPF 000.867.335-19", [{"id_number"}]),
     ("Reference 4:25-cv-10646, INV 2020/9012, DV-8080716, HRB 0014.7, 28 O 388/26, 12.05.2021 10:30", [set()]),
+    ("card 4111 1111 1111 1112; IBAN GB00 WEST 1234 5698 7654 32; 123.456.789-00; INV 666-69-8241; file 529.982.247", [set()]),
+    ("529.982.247-25 and 12345678Z; order no. 000065846885, 00759176252", [{"id_number"}]),
     ("card 4111 1111 1111 1111 and 4111 1111 1111 1112", [{"id_number"}]),
     ("Pay to GB82 WEST 1234 5698 7654 32.", [{"id_number"}]),
     ("moved to Flat 40, 163 Larkspur Lane,\nKaelkcourt L3 9QL.", [{"address"}, {"address"}]),
@@ -46,6 +49,25 @@ def test_validators():
     assert redacted(None, NAMES) is None and redacted("", NAMES) == "" and personal_lines(None, NAMES) == set()
 
 
+def test_check_digits_and_words_before_move_the_score():
+    valid = {"cpf": "529.982.247-25", "dni": "12345678Z", "nie": "X1234567L", "snils": "112-233-445 95", "inn": "7707083893", "tax_id": "86095742719", "card": "4111111111111111", "iban": "DE89370400440532013000"}
+    for kind, number in valid.items():
+        last = number[-1]
+        wrong = number[:-1] + next(c for c in ("1234567890" if last.isdigit() else "ABCDEFGH") if c != last)
+        assert checksum(kind, number) and not checksum(kind, wrong), kind
+        assert id_score(kind, number, False, False) > id_score(kind, wrong, False, False) < id_score(kind, wrong, True, False)
+        assert id_score(kind, number, True, True) < id_score(kind, number, True, False)
+    assert checksum("inn", "500100732259") and checksum("ssn", "666-69-8241") is None
+
+
+def test_lexicon_beyond_its_bound_gives_the_same(spark, monkeypatch):
+    m, b = table(spark, "/root/testdata/sf0.001", "messages"), table(spark, "/root/testdata/sf0.001", "mailboxes")
+    found = {tuple(r) for r in personal_information(m, b).collect()}
+    hidden = {tuple(r) for r in redacted_messages(m, b).collect()}
+    monkeypatch.setattr(personal, "MOST_NAMES", 5)
+    assert {tuple(r) for r in personal_information(m, b).collect()} == found and {tuple(r) for r in redacted_messages(m, b).collect()} == hidden
+
+
 def test_header_names():
     assert header_names('"Lemley, Kendra" <k@x.example>; Contracts Desk <d@x.example>, w@x.example (Will Beixdale)') == [("kendra", True), ("lemley", False), ("will", True), ("beixdale", False)]
     assert header_names(None) == [] and header_names("a@b.example") == []
