@@ -21,13 +21,15 @@ def rendered_email(subject: Column, sender: Column, to: Column, cc: Column, date
 
 
 def declared_charset(html: Column) -> Column:
-    """The character set that an HTML text declares in its first 4096 characters; empty if none."""
-    return F.lower(F.regexp_extract(F.substring(html, 1, 4096), r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_\-]+)""", 1))
+    """The character set that an HTML file declares in its first 4096 bytes, lower-case; empty if none."""
+    head = F.decode(F.substring(html.cast("binary"), 1, 4096), "ISO-8859-1")
+    return F.lower(F.regexp_extract(head, r"""(?i)<meta[^>]+charset\s*=\s*["']?\s*([A-Za-z0-9_.:\-]+)""", 1))
 
 
 def compact_count(n: Column) -> Column:
     """A count as 950, 1.2k or 3.4M; halves round to even."""
-    return F.when(n >= 1_000_000, F.concat(F.bround(n / 1_000_000, 1).cast("string"), F.lit("M"))).when(n >= 1000, F.concat(F.bround(n / 1000, 1).cast("string"), F.lit("k"))).otherwise(n.cast("bigint").cast("string"))
+    short = lambda size, unit: F.concat(F.format_string("%.1f", F.bround(n / size, 1)), F.lit(unit))
+    return F.when(n >= 1_000_000, short(1_000_000, "M")).when(n >= 1000, short(1000, "k")).otherwise(n.cast("bigint").cast("string"))
 
 
 def env_key(name: Column) -> Column:
@@ -38,7 +40,7 @@ def env_key(name: Column) -> Column:
 
 def redacted_secret(value: Column) -> Column:
     """The first four characters of a secret; a connection string keeps all but its password."""
-    dsn = r"^([a-z][a-z0-9+.-]*://[^:/@]+:)[^@]*(@.*)$"
+    dsn = r"(?i)^([a-z][a-z0-9+.-]*://[^:/@]+:)[^@]*(@.*)$"
     return F.when(value.rlike(dsn), F.regexp_replace(value, dsn, "$1***$2")).otherwise(F.concat(F.substring(value, 1, 4), F.lit("...")))
 
 

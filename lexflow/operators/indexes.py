@@ -119,3 +119,24 @@ def expected_sidecars(sources: DataFrame, dotted: bool = False) -> DataFrame:
     name = F.regexp_extract("source_rel", r"([^/]*)$", 1)
     folder = F.regexp_extract("source_rel", r"^(.*/)?[^/]*$", 1)
     return sources.select("source_rel", F.concat(folder, F.lit("." if dotted else ""), name, F.lit(".md")).alias("sidecar_rel"))
+
+
+def sidecar_candidates(sources: DataFrame) -> DataFrame:
+    """``source_rel``, ``file``, ``dotted``: both sidecar paths that a source may have."""
+    plain, dotted = (expected_sidecars(sources, dotted=d).select("source_rel", F.col("sidecar_rel").alias("file"), F.lit(d).alias("dotted")) for d in (False, True))
+    return plain.unionByName(dotted)
+
+
+def reconciled(hashes: DataFrame, tokens: DataFrame, ocr: DataFrame, discovered: DataFrame, protected: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three indexes without stale rows; each has keys of its own kind.
+
+    Hash rows stay for sources that were discovered, classification rows for PDFs among them,
+    and token rows for sidecars of theirs that exist. Both sidecars of a protected source
+    (one that could not be hashed, or is in conflict) stay whether they exist or not.
+    """
+    found = discovered.select("source_rel").distinct()
+    candidates = sidecar_candidates(found)
+    there = candidates.join(existing.select("file").distinct(), "file", "left_semi").select("file")
+    kept = there.unionByName(candidates.join(protected.select("source_rel").distinct(), "source_rel", "left_semi").select("file"))
+    sources = found.withColumnRenamed("source_rel", "file")
+    return pruned(hashes, sources), pruned(tokens, kept), pruned(ocr, sources.where(F.lower("file").endswith(".pdf")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -43,7 +44,7 @@ def fuzzy_filter(rows: DataFrame, name: str, term: str, least: float = 90.0) ->
     def score(names: pd.Series) -> pd.Series:
         return pd.Series([None if n is None else partial_ratio(term.lower(), n.lower()) for n in names], dtype="float64")
 
-    size = max(1, len(term) // (int((1 - least / 100) * 2 * len(term)) + 1))
+    size = max(1, len(term) // (math.floor((1 - least / 100) * 2 * len(term) + 1e-9) + 1))
     pieces = [term.lower()[k : k + size] for k in range(0, len(term) - size + 1, size)]
     low = F.lower(F.col("__name"))
     near = reduce(lambda a, b: a | b, (low.contains(p) for p in pieces), F.length("__name") < len(term))
@@ -66,6 +67,22 @@ def positions(rows: DataFrame, *order: Column, name: str = "position") -> DataFr
     return numbered.join(F.broadcast(before), "__part").withColumn(name, F.col("before") + F.col("__nth")).drop("__part", "__nth", "before")
 
 
+def placed(rows: DataFrame, group: list[str], *order: Column, name: str = "place") -> DataFrame:
+    """``rows`` with their place, from 1, within each group, which must be small by its nature (as the windows of one user)."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+
+
+def toggled(rows: DataFrame, column: str, position: str, reverse: bool = False) -> DataFrame:
+    """``rows`` with their place in a list sorted by one column; equal and missing values keep the order of ``position`` either way."""
+    key = F.coalesce(F.col(column), F.lit(""))
+    return positions(rows, key.desc() if reverse else key.asc(), F.col(position).asc())
+
+
+def search_or_recent(rows: DataFrame, recent: DataFrame, name: str, term: str, newest: str, key: str) -> DataFrame:
+    """The newest matches of a term, or, where the term is blank, the list of recent rows as it is."""
+    return top_matches(rows, name, term.strip(), newest, key) if term.strip() else recent
+
+
 def outdated(listing: DataFrame, history: DataFrame) -> DataFrame:
     """``file``, ``outdated``: whether the copy that was fetched has another checksum; never fetched is not outdated.
 

@@ -162,12 +162,14 @@ WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDE
      q AS (SELECT *, coalesce(ok AND markdown IS NOT NULL, false) AS good FROM p)
 SELECT sidecar_rel, count(*) AS pages, count(*) FILTER (NOT good) AS failed,
        CASE WHEN count(*) FILTER (NOT good) > 0 THEN count(*) FILTER (NOT good) || '/' || count(*) || ' page(s) failed: ' || first(coalesce(error, 'no result returned') ORDER BY page_no, page_id) FILTER (NOT good) END AS failure,
+       CASE WHEN count(*) FILTER (NOT good) = 0 THEN md5(string_agg(markdown, chr(10) || chr(10) ORDER BY page_no, page_id)) END AS text_md5,
        CASE WHEN count(*) FILTER (NOT good) = 0 THEN CAST(sum(length(markdown)) + 2 * (count(*) - 1) AS BIGINT) END AS text_chars
 FROM q GROUP BY sidecar_rel
 """)
 def pages_assembled(s: SparkSession, d: str) -> DataFrame:
-    """State of each recognised document: pages, the first failure, or the length of its assembled text."""
-    return pages.document_states(table(s, d, "sidecar_pages"))
+    """Each recognised document: pages, the first failure, or its assembled text by digest and length."""
+    got = pages.assembled_documents(table(s, d, "sidecar_pages"))
+    return got.select("sidecar_rel", "pages", "failed", "failure", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("text_chars"))
 
 
 @query("SELECT doc_id, title, epoch_us(created_at) AS created_us FROM documents WHERE title ILIKE '%agreement%' ORDER BY created_at DESC NULLS FIRST, doc_id LIMIT 10")
@@ -178,8 +180,9 @@ def titles_search(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def titles_fuzzy(s: SparkSession, d: str) -> DataFrame:
-    """Documents whose title resembles a term, with the score."""
-    return listing.fuzzy_filter(table(s, d, "documents").select("doc_id", "title"), "title", "settlemnt offer")
+    """Documents whose title resembles a term, best first, then by title."""
+    rows = listing.fuzzy_filter(table(s, d, "documents").select("doc_id", "title"), "title", "settlemnt offer")
+    return listing.positions(rows, F.col("score").desc(), F.col("title"), F.col("doc_id"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY created_at NULLS FIRST, doc_id) AS position FROM documents")
@@ -260,9 +263,19 @@ def texts_digest(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("chars"))
 
 
-@query()
+# the table of the checksum by its rule: eight shifts of the polynomial for each byte
+_CRC = """
+WITH RECURSIVE s AS (SELECT i, CAST(i AS BIGINT) AS v, 0 AS n FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM s WHERE n < 8),
+     t AS MATERIALIZED (SELECT list(v ORDER BY i) AS steps FROM s WHERE n = 8),
+     d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, lower(lpad(hex(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)), 8, '0')) AS hash
+FROM d, t
+"""
+
+
+@query(_CRC)
 def texts_crc32(s: SparkSession, d: str) -> DataFrame:
-    """CRC-32 fingerprint of each document's text (DuckDB has no such function)."""
+    """CRC-32 fingerprint of each document's text."""
     return table(s, d, "documents").select("doc_id", content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
 
 
@@ -317,10 +330,14 @@ def gauges_highest(s: SparkSession, d: str) -> DataFrame:
     return sessions.first_highest(table(s, d, "events"), "user_id", "value", "event_id", "event_type")
 
 
-@query("SELECT file, CASE WHEN tokens >= 1000 THEN 'k' ELSE '' END AS unit, tokens FROM " + _TOKEN)
+def _short(n: str) -> str:
+    return f"CASE WHEN {n} >= 1000000 THEN printf('%.1fM', round_even({n} / 1000000.0, 1)) WHEN {n} >= 1000 THEN printf('%.1fk', round_even({n} / 1000.0, 1)) ELSE CAST({n} AS VARCHAR) END"
+
+
+@query(f"SELECT file, {_short('tokens')} AS short, {_short('(tokens * 1000)')} AS thousands FROM {_TOKEN}")
 def tokens_compact(s: SparkSession, d: str) -> DataFrame:
-    """Token counts with the unit of their short form."""
-    return _tokens(s, d).select("file", F.when(compact_count(F.col("tokens")).endswith("k"), "k").otherwise("").alias("unit"), "tokens")
+    """Token counts in short form, and those of a thousand times as many."""
+    return _tokens(s, d).select("file", compact_count(F.col("tokens")).alias("short"), compact_count(F.col("tokens") * 1000).alias("thousands"))
 
 
 @query("SELECT nation.n_name, count(*) AS orders, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["instants", "document_queries"]
+MODULES = ["instants", "document_queries", "record_queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
