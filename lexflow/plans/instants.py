@@ -20,8 +20,8 @@ def p3_normalised(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_normalised": p3_normalised}
 
 
-def _sql() -> str:
-    """The same cascade for DuckDB; its regular expressions have no back-references, so the separators are spelt out."""
+def _sql(last: str) -> str:
+    """The same cascade for DuckDB, ended by ``last``; its regular expressions have no back-references, so the separators are spelt out."""
     text = lambda v: "'" + v.replace("'", "''") + "'"
     branches = []
     for pattern, at in PATTERNS:
@@ -57,9 +57,18 @@ WITH b AS (SELECT mailbox_id, arg_min(tz_name, (tz_name, locale)) AS tz_name, ar
      l AS (SELECT *, (try_strptime(printf('%04d-%02d-%02d', y, mo, da), '%Y-%m-%d')::DATE - DATE '1970-01-01') * {day} + ho * 3600000000 + mi * 60000000 + se * 1000000 + us AS local_us, CASE WHEN NOT has_zone THEN coalesce(region, tz_name) END AS zone FROM d),
      c AS (SELECT *, local_us - {off(f'local_us - {day}')} AS c1, local_us - {off(f'local_us + {day}')} AS c2 FROM l),
      k AS (SELECT *, CASE WHEN c1 + {off('c1')} = local_us THEN c1 END AS k1, CASE WHEN c2 + {off('c2')} = local_us THEN c2 END AS k2 FROM c),
-     r AS (SELECT msg_id, coalesce(epoch, CASE WHEN has_zone THEN local_us - coalesce(signed_min, named_min) * 60000000 WHEN k1 IS NULL OR k2 IS NULL OR k1 = k2 THEN coalesce(k1, k2) END) AS instant_us FROM k)
-SELECT msg_id, instant_us FROM r WHERE instant_us IS NOT NULL
+     r AS (SELECT *, coalesce(signed_min, named_min) AS offset_min, coalesce(epoch, CASE WHEN has_zone THEN local_us - coalesce(signed_min, named_min) * 60000000 WHEN k1 IS NULL OR k2 IS NULL OR k1 = k2 THEN coalesce(k1, k2) END) AS instant_us FROM k)
+{last.replace("@sign", f("sign"))}
 """
 
 
-SQL: dict[str, str] = {"p3_found": _sql()}
+_STATUS = """
+SELECT msg_id, date_raw, instant_us,
+       CASE WHEN coalesce(t, '') = '' THEN 'empty' WHEN epoch IS NOT NULL THEN 'epoch' WHEN f IS NULL THEN 'unparsed'
+            WHEN local_us IS NULL OR (@sign <> '' AND offset_min IS NULL) THEN 'impossible'
+            WHEN has_zone AND offset_min IS NULL THEN 'no_zone' WHEN has_zone THEN 'ok' WHEN zone IS NULL THEN 'no_zone'
+            WHEN k1 <> k2 THEN 'ambiguous' WHEN k1 IS NULL AND k2 IS NULL THEN 'nonexistent' ELSE 'ok' END AS instant_status
+FROM r
+"""
+
+SQL: dict[str, str] = {"p3_found": _sql("SELECT msg_id, instant_us FROM r WHERE instant_us IS NOT NULL"), "p3_normalised": _sql(_STATUS)}

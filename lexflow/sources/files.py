@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
+
+from ..runtime import cut_lineage
 
 SUFFIXES = (".docx", ".pdf", ".eml", ".emlx", ".msg", ".oft", ".mht", ".mhtml", ".mbox")
 MESSAGE = "path string, pos int, subject string, sender string, to_addrs string, cc_addrs string, date_raw string, body string, attachments array<string>, error string"
@@ -69,54 +72,104 @@ def document_tree(spark: SparkSession, root: str, skip: str = "") -> DataFrame:
     return spark.read.format("document_tree").option("skip", skip).load(root)
 
 
-def _message(raw: bytes) -> dict:
+# The kinds of part that give a file's body, the wanted one first.
+_BODY = {"archive": ("text/html", "text/plain"), "mail": ("text/plain",)}
+MAIL_SUFFIXES = (".eml", ".emlx", ".mht", ".mhtml", ".mbox")
+SPLIT = 64 << 20  # bytes of a mailbox file that one task reads
+
+
+def _text(part) -> str:
+    try:
+        return part.get_content()
+    except (LookupError, UnicodeError, KeyError):
+        return (part.get_payload(decode=True) or b"").decode("utf-8", errors="replace")
+
+
+def _body(msg, route: str) -> str | None:
+    """The text of the first part of the wanted kinds; of HTML parts the one that the message names as its start comes first."""
+    start = (msg.get_param("start") or "").strip(" <>")
+    leaves = [(kind, start != "" and (p.get("Content-ID") or "").strip(" <>") == start, p) for p in msg.walk() if not p.is_multipart() for kind in [p.get_content_type()]]
+    for wanted in _BODY[route]:
+        fitting = sorted((leaf for leaf in leaves if leaf[0] == wanted), key=lambda leaf: not leaf[1])
+        if fitting and wanted == "text/html":
+            return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", _text(fitting[0][2]))).strip()
+        if fitting:
+            return _text(fitting[0][2])
+    return None
+
+
+def _message(raw: bytes, route: str) -> dict:
     msg = message_from_bytes(raw, policy=policy.default)
-    body = None
-    for part in msg.walk():
-        if part.get_content_type() == "text/plain":
-            try:
-                body = part.get_content()
-            except (LookupError, UnicodeError, KeyError):
-                body = (part.get_payload(decode=True) or b"").decode("utf-8", errors="replace")
-            break
-    if body is None and msg.get_content_maintype() == "multipart" and (root := _root_html(msg)) is not None:
-        body = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", (root.get_payload(decode=True) or b"").decode(root.get_content_charset() or "utf-8", errors="replace"))).strip()
     head = lambda k: None if msg[k] is None else str(msg[k])
-    return {"subject": head("subject"), "sender": head("from"), "to_addrs": head("to"), "cc_addrs": head("cc"), "date_raw": head("date"), "body": body, "attachments": [p.get_filename() for p in msg.iter_attachments() if p.get_filename()] if msg.is_multipart() else []}
+    return {"subject": head("subject"), "sender": head("from"), "to_addrs": head("to"), "cc_addrs": head("cc"), "date_raw": head("date"), "body": _body(msg, route), "attachments": [p.get_filename() for p in msg.iter_attachments() if p.get_filename()] if msg.is_multipart() else []}
+
 
+def mailbox_messages(path: str, begin: int, end: int) -> Iterator[bytes]:
+    """The messages of a mailbox file whose ``From`` line begins within these bytes, each read to its end.
 
-def _root_html(msg):
-    """The HTML part that a multipart message names as its start, else the first one."""
-    start = (msg.get_param("start") or "").strip().strip("<>")
-    parts = [p for p in msg.walk() if p.get_content_type() == "text/html"]
-    return next((p for p in parts if start and (p.get("Content-ID") or "").strip().strip("<>") == start), parts[0] if parts else None)
+    Every line that begins so parts messages; within a message it is escaped by ``>``, which
+    is taken off again.
+    """
+    with open(path, "rb") as file:
+        file.seek(max(0, begin - 1))
+        if begin:
+            file.readline()  # a line that began before belongs to the range before
+        at, message = file.tell(), None
+        for line in file:
+            if line.startswith(b"From "):
+                if message is not None:
+                    yield b"".join(message)
+                    message = None
+                if at >= end:
+                    return
+                message = []
+            elif message is not None:
+                message.append(line[1:] if re.match(rb">+From ", line) else line)
+            elif at >= end:
+                return
+            at += len(line)
+        if message is not None:
+            yield b"".join(message)
 
 
 def mail_messages(spark: SparkSession, path: str) -> DataFrame:
     """All messages of the .eml, .emlx, .mht, .mhtml and .mbox files below ``path``, in file order.
 
-    A file that cannot be read gives a row with ``error``; a mailbox without messages too.
+    Files are listed by ``document_tree`` (dot-files too) and read in the tasks, mailbox files
+    in ranges of ``SPLIT`` bytes. A file that cannot be read gives a row with ``error``; a
+    mailbox without messages too.
     """
-
+    split = SPLIT
     blank = dict.fromkeys(f.split(" ")[0] for f in MESSAGE.split(", "))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                parts = re.split(rb"(?m)^From [^\n]*\n", content)[1:] if file.lower().endswith(".mbox") else [content]
-                if file.lower().endswith(".emlx"):
-                    parts = [content.split(b"\n", 1)[1] if content[:12].split(b"\n")[0].strip().isdigit() else content]
+            for file, suffix, part in zip(batch["file"], batch["suffix"], batch["part"], strict=True):
+                rows, full = [], os.path.join(path, file)
                 try:
-                    own = [{"path": file, "pos": k, **_message(p), "error": None} for k, p in enumerate(parts)]
-                    rows += own or [blank | {"path": file, "error": "no messages found"}]
+                    if suffix == ".mbox":
+                        contents = list(mailbox_messages(full, part * split, (part + 1) * split))
+                    else:
+                        with open(full, "rb") as source:
+                            contents = [source.read()]
+                    if suffix == ".emlx" and contents[0][:12].split(b"\n")[0].strip().isdigit():
+                        contents = [contents[0].split(b"\n", 1)[1]]
+                    route = "archive" if suffix in (".mht", ".mhtml") else "mail"
+                    rows = [{"path": file, "pos": k, **_message(raw, route), "error": None} for k, raw in enumerate(contents)]
                 except Exception as e:  # one broken file must not fail the job
-                    rows.append(blank | {"path": file, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=list(blank), dtype=object)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    mails = files.where(F.lower("path").rlike(r"\.(eml|emlx|mht|mhtml|mbox)$")).select("path", "content")
-    return mails.mapInPandas(split, MESSAGE)
+                    rows = [blank | {"path": file, "error": f"{type(e).__name__}: {e}"}]
+                yield pd.DataFrame(rows, columns=list(blank), dtype=object).assign(part=part)
+
+    files = document_tree(spark, path).where(F.col("suffix").isin(*MAIL_SUFFIXES))
+    last = F.when(F.col("suffix") == ".mbox", F.expr(f"length div {split}")).otherwise(0).cast("int")
+    parts = files.select("file", "suffix", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    rows = cut_lineage(parts.repartition("file", "part").mapInPandas(read, MESSAGE + ", part int"))
+    counts = rows.where("error is null").groupBy("path", "part").agg(F.count("*").alias("n"))
+    before = counts.select("path", "part", (F.sum("n").over(Window.partitionBy("path").orderBy("part")) - F.col("n")).cast("int").alias("before"))
+    placed = rows.join(before, ["path", "part"], "left").withColumn("pos", F.col("pos") + F.col("before"))
+    none = files.where("suffix = '.mbox'").join(rows.select(F.col("path").alias("file")).distinct(), "file", "left_anti")
+    empty = none.select(*(F.col("file").alias(c) if c == "path" else F.lit("no messages found").alias(c) if c == "error" else F.lit(None).cast(t).alias(c) for c, t in (f.split(" ") for f in MESSAGE.split(", "))))
+    return placed.select(*blank).unionByName(empty)
 
 
 def read_index(spark: SparkSession, path: str, value: str) -> DataFrame:

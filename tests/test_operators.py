@@ -99,22 +99,25 @@ def test_positions_and_fuzzy(spark):
 def test_document_states(spark):
     p = spark.createDataFrame([(1, "s", 1, "i", True, "ab", None), (1, "s", 1, "i", True, "ab", None), (2, "s", 2, "i", True, "c", None), (3, "t", 1, "i", True, "x", None), (4, "t", 2, "i", False, None, "blur"), (5, "t", 3, "i", True, None, None)], "page_id long, sidecar_rel string, page_no int, image string, ok boolean, markdown string, error string")
     got = {r.sidecar_rel: tuple(r)[1:] for r in pages.document_states(p).collect()}
-    assert got == {"s": (2, 0, None, 5), "t": (3, 2, "2/3 page(s) failed: blur", None)}
+    assert got == {"s": (2, 0, None), "t": (3, 2, "2/3 page(s) failed: blur")}
 
 
 def test_tree_mail_and_index_files(spark, tmp_path):
     for name, data in {
         "a/x.eml": b"From: A <a@x.example>\r\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\r\nTo: b@x.example\r\n\r\nBody\r\n", "a/.dot.pdf": b"1", "a/~tmp.docx": b"1", ".git/y.eml": b"1", "a/cache/z.pdf": b"1", "b.MBOX": b"", "n.txt": b"1",
-        "m.mbox": b"From a Mon\nSubject: one\n\nfirst\nFrom b Mon\nSubject: two\n\nsecond\n", "bad.eml": b'Content-Type: text/plain; charset="no-such"\n\n\xff\xfe', "empty.mbox": b"no separator\n",
+        "m.mbox": b"From a Mon\nSubject: one\n\nfirst\n>From here\n\nFrom b Mon\nSubject: two\n\nsecond\n", "bad.eml": b'Content-Type: text/plain; charset="no-such"\n\n\xff\xfe', "empty.mbox": b"no separator\n",
         "w.mht": b'MIME-Version: 1.0\nContent-Type: multipart/related; boundary="b"; start="<r>"\n\n--b\nContent-Type: text/html\nContent-ID: <q>\n\n<p>no</p>\n--b\nContent-Type: text/html\nContent-ID: <r>\n\n<p>root</p>\n--b--\n',
+        ".hid.eml": b"Subject: s\n\nSeen\n", "only.eml": b'Content-Type: multipart/mixed; boundary="b"\n\n--b\nContent-Type: text/html\n\n<p>x</p>\n--b--\n',
+        "both.mht": b'Content-Type: multipart/related; boundary="b"\n\n--b\nContent-Type: text/plain\n\nplain\n--b\nContent-Type: text/html\n\n<p>Page</p>\n--b--\n',
     }.items():
         os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    assert {r.file for r in document_tree(spark, str(tmp_path), "cache").collect()} == {"a/x.eml", "a/.dot.pdf", "b.MBOX", "m.mbox", "bad.eml", "empty.mbox", "w.mht"}
+    assert {r.file for r in document_tree(spark, str(tmp_path), "cache").collect()} == {"a/x.eml", "a/.dot.pdf", "b.MBOX", "m.mbox", "bad.eml", "empty.mbox", "w.mht", ".hid.eml", "only.eml", "both.mht"}
     rows = mail_messages(spark, str(tmp_path)).collect()
     by = {(os.path.basename(r.path), r.pos): r for r in rows}
     assert by["x.eml", 0].subject == "Grüße" and by["m.mbox", 1].body.strip() == "second" and by["w.mht", 0].body == "root"
     assert by["bad.eml", 0].body.startswith("�") and by["empty.mbox", None].error
+    assert by["m.mbox", 0].body == "first\nFrom here\n\n" and by[".hid.eml", 0].body.strip() == "Seen" and by["only.eml", 0].body is None and by["both.mht", 0].body == "Page"
     path = str(tmp_path / "index.csv")
     index = spark.createDataFrame([("b,1", "2"), ("a", "1"), ("ü", None)], "file string, hash string")
     assert write_index(index, path, ["file", "hash"]) and not write_index(index, path, ["file", "hash"])
@@ -123,6 +126,71 @@ def test_tree_mail_and_index_files(spark, tmp_path):
     assert read_index(spark, path + "x", "hash").count() == 0
 
 
+def test_mailbox_in_ranges(tmp_path):
+    from lexflow.sources.files import mailbox_messages
+
+    data = b"".join(b"From a\nSubject: %d\n\nline\n>>From x\n\n" % k for k in range(40))
+    path = str(tmp_path / "m.mbox")
+    (tmp_path / "m.mbox").write_bytes(data)
+    whole = list(mailbox_messages(path, 0, len(data) + 1))
+    assert len(whole) == 40 and b">From x" in whole[0] and b">>From" not in whole[0]
+    for size in (1, 7, 50, 333):
+        assert [m for k in range(0, len(data) + 1, size) for m in mailbox_messages(path, k, k + size)] == whole
+
+
+def test_fuzzy_filter_prunes_nothing_that_scores(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["abc#defhijklnop#qrst"]
+    for _ in range(400):
+        n = list("abcdefghijklmnopqrst")
+        for _ in range(rng.randrange(5)):
+            n[rng.randrange(len(n))] = rng.choice("#xyz")
+        names.append("".join(n) + rng.choice(["", " tail"]))
+    df = spark.createDataFrame([(n,) for n in set(names)], "title string")
+    got = {r.title for r in listing.fuzzy_filter(df, "title", "abcdefghijklmnopqrst").collect()}
+    assert got == {n for n in set(names) if listing.partial_ratio("abcdefghijklmnopqrst", n) >= 90} and "abc#defhijklnop#qrst" in got
+
+
+def test_recogniser_output_in_all_shapes(spark):
+    from lexflow.operators import records
+
+    rec = lambda i, md: '{"image": "%s", "ok": true, "markdown": "%s"}' % (i, md)
+    rows = [("wrapper", '{"results": [%s, 5, %s]}' % (rec("a", "x"), rec("a", "y"))), ("array", "[%s,\n%s]" % (rec("a", "x"), rec("b", "y"))), ("one", rec("a", "x")), ("lines", rec("a", "x") + "\n\n" + rec("a", "z") + "\n"), ("bad", "no json"), ("none", None), ("named", '{"image": 7}')]
+    df = spark.createDataFrame(rows, "key string, output string").withColumn("image", F.lit("clash"))
+    last = {(r["key"], r.image): r.markdown for r in records.recognised_records(df, "key", "output").collect()}
+    assert last == {("wrapper", "a"): "y", ("array", "a"): "x", ("array", "b"): "y", ("one", "a"): "x", ("lines", "a"): "z"}
+    first = {(r["key"], r.image): r.markdown for r in records.recognised_records(df, "key", "output", first=True).collect()}
+    assert first["lines", "a"] == "x" and first["wrapper", "a"] == "x"
+
+
+def test_usage_windows(spark):
+    from lexflow.operators import records
+
+    rows = [(1, '{"rate_limits": {"a": {"used_percentage": 99.5, "resets_at": 2000}, "b": {"used_percentage": true}, "c": {"used_percentage": 50, "resets_at": "1970-01-01T00:00:01"}, "d": {"used_percentage": 91, "resets_at": "soon"}, "e": 4, "f": {"used_percentage": 1, "resets_at": "1970-01-01T01:00:00Z"}}}'), (2, "{}"), (3, "x"), (4, None), (5, '{"rate_limits": []}')]
+    got = records.live_windows(spark.createDataFrame(rows, "k int, payload string"), "k", "payload", F.lit(1_000_000_000)).withColumn("s", records.window_state(F.col("percent")))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 99.5, 2_000_000_000, "exhausted"), (1, "d", 91.0, None, "offered"), (1, "f", 1.0, 3_600_000_000, "open")}
+    assert [r[0] for r in spark.createDataFrame([(0,), (1,)], "m long").select(records.is_stale(F.col("m"), F.lit(21_600_000_001))).collect()] == [True, False]
+
+
+def test_flattened_settings_and_environment_lines(spark):
+    from lexflow.operators import records
+
+    df = spark.createDataFrame([(1, '{"a": {"b-c": [1, {"x": true}], "A B C": 1}, "9": null, "deep": {"deep": {"deep": "v"}}, "a_b_c_1": "2"}'), (2, "broken"), (3, None)], "k int, payload string")
+    got = {(r.name, r.value, r.state) for r in records.flattened(df, "k", "payload").collect()}
+    assert got == {("A_B_C_1", "1", "conflict"), ("A_B_C_2_X", "true", "set"), ("A_A_B_C", "1", "set"), ("KEY_9", None, "null"), ("DEEP_DEEP_DEEP", "v", "set")}
+    lines = spark.createDataFrame(list(enumerate(["A=1", " export B = 'it\\'s' # note", "# C=3", "", "A=\"two words\"", "D=", "E=plain text # c"])), "pos long, line string")
+    assert [(r.name, r.value) for r in records.env_values(lines, "line", "pos").orderBy("pos").collect()] == [("A", "1"), ("B", "it's"), ("A", "two words"), ("D", ""), ("E", "plain text")]
+    assert column(spark, ["abc1", "a b", "it's"], lambda c: records.env_line(F.lit("K"), c)) == ["K=abc1", "K='a b'", "K='it\\'s'"]
+
+
+def test_assembled_documents(spark):
+    rows = [(1, "a", 2, True, "two", None), (2, "a", 1, True, "one", None), (2, "a", 1, True, "one", None), (3, "b", 1, True, "x", None), (4, "b", 2, False, None, "broken"), (5, "c", 1, None, None, None)]
+    got = {r.sidecar_rel: (r.pages, r.failure, r.text) for r in pages.assembled_documents(spark.createDataFrame(rows, "page_id long, sidecar_rel string, page_no int, ok boolean, markdown string, error string")).collect()}
+    assert got == {"a": (2, None, "one\n\ntwo"), "b": (2, "1/2 page(s) failed: broken", None), "c": (1, "1/1 page(s) failed: no result returned", None)}
+
+
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [("a", "converted", "h1", "2024-01-01 00:00:00"), ("a", "converted", "h2", "2024-01-03 00:00:00"), ("b", "failed", None, "2024-01-01 00:00:00"), ("a", "converted", "h1", "2024-01-02 00:00:00")]
