@@ -63,6 +63,7 @@ _CONTEXT_WORDS = {
     "passport": "document", "passport no": "document", "passport number": "document", "ausweis": "document", "reisepass": "document", "identit": "document", "passeport": "document", "pasaporte": "document", "passaporte": "document", "identity card": "document", "cni": "document",
     "iban": "iban", "card": "card", "karte": "card", "carte": "card", "tarjeta": "card", "cartão": "card", "карт": "card",
 }
+_CONTEXT = re.compile("|".join(sorted(map(re.escape, _CONTEXT_WORDS), key=len, reverse=True)))
 _START = re.compile(rf"(?<![^\W_])(?=[A-Z]{{1,2}}{S}?\d|[A-Z]?\d[\dA-Z. -])")
 _ALONE = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, form, _ in _IDS if form + SURE_VALID >= THRESHOLD and name not in ("inn", "tax_id", "ru_passport")))
 _FORM_SCORE = {name: form for name, _, form, _ in _IDS}
@@ -295,15 +296,14 @@ def _names_from(given: set[str], parts: set[str]) -> Names:
 def _id_at(text: str, at: int, before: str) -> re.Match | None:
     """The number issued to a person that begins at ``at``, where its score reaches the threshold."""
     low = before.lower()
-    against = bool(_OTHER_NUMBER.search(before))
-    for word, kinds in _CONTEXT_WORDS.items():
-        place = low.rfind(word)
-        if place >= 0 and len(low) - place - len(word) <= 9 and not (place and low[place - 1].isalpha() and word in ("rg", "nie", "dni", "nir", "nif", "ssn", "cni")):
-            for kind in kinds.split():
-                if (m := _ID_PATTERNS[kind].match(text, at)) and id_score(kind, m[0], True, against) >= THRESHOLD:
+    for word in _CONTEXT.finditer(low):
+        place = word.start()
+        if len(low) - word.end() <= 9 and not (place and low[place - 1].isalpha() and word[0] in ("rg", "nie", "dni", "nir", "nif", "ssn", "cni")):
+            for kind in _CONTEXT_WORDS[word[0]].split():
+                if (m := _ID_PATTERNS[kind].match(text, at)) and id_score(kind, m[0], True, bool(_OTHER_NUMBER.search(before))) >= THRESHOLD:
                     return m
     m = _ALONE.match(text, at)
-    return m if m and id_score(m.lastgroup, m[0], False, against) >= THRESHOLD else None
+    return m if m and id_score(m.lastgroup, m[0], False, bool(_OTHER_NUMBER.search(before))) >= THRESHOLD else None
 
 
 def spans_of(text: str, names: Names) -> list[tuple[int, int, str]]:
