@@ -140,3 +140,18 @@ def reconciled(hashes: DataFrame, tokens: DataFrame, ocr: DataFrame, discovered:
     kept = there.unionByName(candidates.join(protected.select("source_rel").distinct(), "source_rel", "left_semi").select("file"))
     sources = found.withColumnRenamed("source_rel", "file")
     return pruned(hashes, sources), pruned(tokens, kept), pruned(ocr, sources.where(F.lower("file").endswith(".pdf")))
+
+
+def recoverable(latest: DataFrame, ocr: DataFrame, existing: DataFrame) -> DataFrame:
+    """``source_rel``, ``sidecar_rel``, ``verdict``: PDFs that OCR has finished for this very content and whose sidecar is still there."""
+    done = ocr.where(needs_ocr(F.col("verdict")) & F.col("ocr_done")).select(F.col("file").alias("source_rel"), F.col("hash").alias("file_hash"), "verdict")
+    found = latest.select("source_rel", "sidecar_rel", "file_hash").join(done, ["source_rel", "file_hash"])
+    return found.join(existing.select(F.col("file").alias("sidecar_rel")).distinct(), "sidecar_rel", "left_semi").select("source_rel", "sidecar_rel", "verdict")
+
+
+def remaining(hashed: DataFrame, handled: list[DataFrame], excluded: DataFrame) -> DataFrame:
+    """``source_rel`` of the sources with a hash that no earlier step handled and that nothing excludes."""
+    left = hashed.select("source_rel").distinct()
+    for step in [*handled, excluded]:
+        left = left.join(step.select("source_rel").distinct(), "source_rel", "left_anti")
+    return left

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.text import env_key
 from ..runtime import cut_lineage
 
+# The fields of a named credential, in the order in which they are looked for.
+NAME_FIELDS = ("name", "key", "env", "env_var", "variable")
+VALUE_FIELDS = ("value", "token", "secret", "credential", "url", "api_key")
 TAIL = 131_072  # bytes at the end of a transcript that are read
 
 
@@ -146,3 +149,19 @@ def env_values(lines: DataFrame, line: str, position: str) -> DataFrame:
 def env_line(name: Column, value: Column) -> Column:
     """A setting as a line of an environment file; a value is quoted unless it has letters and digits only."""
     return F.concat(name, F.lit("="), F.when(value.rlike(r"^[\p{L}\p{N}]+$"), value).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+
+def named_credentials(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key``, ``name``, ``value``, ``state`` of each credential object: the first name field with text, and the first value field that is there.
+
+    ``state`` is ``set``, ``null`` where that value is null, ``missing`` where there is no value
+    field; objects without a name, and what is no object, have no row.
+    """
+    item = F.try_parse_json(F.col(payload))
+    read = rows.select(F.col(key).alias("key"), item.alias("item")).where(_kind(F.col("item")) == "OBJECT")
+    field = lambda name: F.try_variant_get("item", f"$.{name}", "variant")
+    text = lambda name: F.when(_kind(field(name)) == "STRING", F.nullif(F.trim(F.try_variant_get("item", f"$.{name}", "string")), F.lit("")))
+    value = F.coalesce(*(F.when(field(v).isNotNull(), F.struct(F.try_variant_get("item", f"$.{v}", "string").alias("value"), (_kind(field(v)) == "VOID").alias("none"))) for v in VALUE_FIELDS))
+    found = read.select("key", env_key(F.coalesce(*map(text, NAME_FIELDS))).alias("name"), value.alias("v")).where("name is not null")
+    state = F.when(F.col("v").isNull(), "missing").when(F.col("v.none"), "null").otherwise("set")
+    return found.select(F.col("key").alias(key), "name", "v.value", state.alias("state"))

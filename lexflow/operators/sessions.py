@@ -24,9 +24,8 @@ def carried_starts(events: DataFrame, session: str, position: str, at: str, star
     e = events.select(F.col(session).alias("session"), F.col(position).alias("pos"), F.col(at).alias("at"), F.col(starts).alias("s"), F.col(ends).alias("e"))
     e = e.withColumn("part", F.expr(f"pos div {STRETCH}")).withColumn("start", F.when(F.col("s"), F.col("at")))
     last = e.where("start is not null").groupBy("session", "part").agg(F.max_by("start", "pos").alias("last"))
-    known = last.select("session", "part", F.lag("last").over(Window.partitionBy("session").orderBy("part")).alias("before"), "last")
     # a part without a start has no summary: the nearest earlier part's last start is found by a window over the parts
-    parts = e.select("session", "part").distinct().join(known, ["session", "part"], "left")
+    parts = e.select("session", "part").distinct().join(last, ["session", "part"], "left")
     before = parts.select("session", "part", F.last("last", True).over(Window.partitionBy("session").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     inside = Window.partitionBy("session", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     filled = e.withColumn("own", F.last("start", True).over(inside)).join(before, ["session", "part"])
@@ -64,3 +63,19 @@ def first_highest(gauges: DataFrame, group: str, value: str, position: str, keep
     """The row with the highest value of each group; of equal ones the first by position."""
     best = gauges.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.max_by(F.struct(F.col(value).alias("value"), F.col(keep).alias("kept")), F.struct(F.col(value), -F.col(position))).alias("b"))
     return best.select("group", "b.value", "b.kept")
+
+
+def idle_sessions(events: DataFrame, key: str, at: str, idle: str = "6 hours") -> DataFrame:
+    """``key``, ``begin``, ``last``, ``n``: stretches of use that end where nothing follows within ``idle``.
+
+    On a stream with a watermark a stretch is emitted once, when it has expired; on a table all
+    stretches are given. Stretches are merged where they lie before they are shuffled.
+    """
+    used = events.groupBy(F.col(key), F.session_window(F.col(at), idle).alias("w")).agg(F.max(at).alias("last"), F.count("*").alias("n"))
+    return used.select(key, F.col("w.start").alias("begin"), "last", "n")
+
+
+def pace(events: DataFrame, session: str, at_us: str) -> DataFrame:
+    """``session``, ``n``, ``us_each``: the mean time from one arrival to the next, the wait for the first one aside; null for a single one."""
+    seen = events.groupBy(F.col(session).alias("session")).agg(F.count(at_us).alias("n"), F.min(at_us).alias("first"), F.max(at_us).alias("last"))
+    return seen.select("session", "n", F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / (F.col("n") - 1)).alias("us_each"))

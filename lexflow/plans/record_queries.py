@@ -202,3 +202,61 @@ def errors_once(s: SparkSession, d: str) -> DataFrame:
 def tokens_total(s: SparkSession, d: str) -> DataFrame:
     """Tokens of all sidecars in the token index."""
     return _tokens(s, d).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("sidecars"))
+
+
+@query(f"SELECT r.source_rel, r.sidecar_rel, o.verdict FROM {_RUNS} r JOIN {_OCR} o ON o.file = r.source_rel AND o.hash = r.file_hash WHERE o.ocr_done AND o.verdict IN ('scanned-image-only', 'scan+ocr', 'mixed/other') AND r.sidecar_rel IN (SELECT sidecar_rel FROM processing_results)")
+def sources_recoverable(s: SparkSession, d: str) -> DataFrame:
+    """PDFs whose finished recognition can be taken over; sidecars of all runs stand for the listing."""
+    existing = table(s, d, "processing_results").select(F.col("sidecar_rel").alias("file")).where("file is not null")
+    return indexes.recoverable(_runs(s, d), _ocr(s, d), existing)
+
+
+@query(f"SELECT source_rel FROM {_RUNS} r WHERE file_hash IS NOT NULL AND source_rel NOT IN (SELECT source_rel FROM processing_results WHERE status = 'failed') AND source_rel NOT IN (SELECT file FROM {_HASH} h WHERE h.hash = r.file_hash) AND source_rel NOT IN (SELECT file FROM {_OCR} WHERE verdict IN ('scanned-image-only', 'scan+ocr', 'mixed/other'))")
+def sources_remaining(s: SparkSession, d: str) -> DataFrame:
+    """Sources that are left when unchanged ones, PDFs for recognition and those that ever failed are taken out."""
+    runs = _runs(s, d).where("file_hash is not null")
+    unchanged = runs.join(_hashes(s, d).select(F.col("file").alias("source_rel"), F.col("hash").alias("file_hash")), ["source_rel", "file_hash"], "left_semi")
+    for_ocr = _ocr(s, d).where(indexes.needs_ocr(F.col("verdict"))).select(F.col("file").alias("source_rel"))
+    return indexes.remaining(runs, [unchanged, for_ocr], table(s, d, "processing_results").where("status = 'failed'"))
+
+
+@query("SELECT 'run' AS origin, source_rel AS file, status AS state, CAST(tokens AS BIGINT) AS tokens FROM processing_results UNION ALL SELECT 'ocr', file, verdict, NULL FROM ocr_index UNION ALL SELECT 'hash', file, NULL, NULL FROM hash_index")
+def results_united(s: SparkSession, d: str) -> DataFrame:
+    """The result lists of all steps as one; what a list lacks is null."""
+    runs = table(s, d, "processing_results").select(F.lit("run").alias("origin"), F.col("source_rel").alias("file"), F.col("status").alias("state"), "tokens")
+    ocr = table(s, d, "ocr_index").select(F.lit("ocr").alias("origin"), "file", F.col("verdict").alias("state"))
+    return runs.unionByName(ocr, allowMissingColumns=True).unionByName(table(s, d, "hash_index").select(F.lit("hash").alias("origin"), "file"), allowMissingColumns=True)
+
+
+@query("SELECT user_id AS session, count(*) AS n, CASE WHEN count(*) > 1 THEN round((epoch_us(max(ts)) - epoch_us(min(ts))) / (count(*) - 1), 3) END AS us_each FROM events GROUP BY user_id")
+def events_pace(s: SparkSession, d: str) -> DataFrame:
+    """Mean time between each user's events; they stand for pages as they arrive."""
+    e = table(s, d, "events").select("user_id", F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())).alias("at"))
+    return sessions.pace(e, "user_id", "at").select("session", "n", F.round("us_each", 3).alias("us_each"))
+
+
+@query("""
+WITH g AS (SELECT user_id, epoch_us(ts) AS moment, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events),
+     i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g)
+SELECT user_id, min(moment) AS begin_us, max(moment) AS last_us, count(*) AS n FROM i GROUP BY user_id, island
+""")
+def flags_expired(s: SparkSession, d: str) -> DataFrame:
+    """Stretches of each user's events that end after six idle hours; they stand for flags that use refreshes."""
+    e = table(s, d, "events").select("user_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("at"))
+    return sessions.idle_sessions(e, "user_id", "at").select("user_id", F.unix_micros("begin").alias("begin_us"), F.unix_micros("last").alias("last_us"), "n")
+
+
+@query("""
+SELECT mailbox_id, CASE WHEN mailbox_id % 5 = 0 THEN 'KEY_' || mailbox_id || '_BOX' WHEN mailbox_id % 5 = 1 THEN 'BOX_' || mailbox_id ELSE 'ENV_' || mailbox_id END AS name,
+       CASE WHEN mailbox_id % 3 = 0 THEN address WHEN mailbox_id % 3 = 1 THEN NULL END AS value, CASE WHEN mailbox_id % 3 = 0 THEN 'set' WHEN mailbox_id % 3 = 1 THEN 'null' ELSE 'missing' END AS state
+FROM mailboxes WHERE mailbox_id % 5 < 3
+""")
+def credentials_named(s: SparkSession, d: str) -> DataFrame:
+    """Credentials by name; JSON objects of the mailboxes, with their fields by turns, stand for a payload."""
+    m = table(s, d, "mailboxes")
+    i = F.col("mailbox_id")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.when(i % 5 == 0, F.concat(F.lit('"name": '), quoted(F.concat(i.cast("string"), F.lit(" box"))))).when(i % 5 == 1, F.concat(F.lit('"name": "  ", "variable": '), quoted(F.concat(F.lit("box-"), i.cast("string"))))).when(i % 5 == 2, F.concat(F.lit('"key": 7, "env": '), quoted(F.concat(F.lit("env."), i.cast("string"))))).otherwise(F.lit('"other": 1'))
+    value = F.when(i % 3 == 0, F.concat(F.lit(', "secret": '), quoted(F.col("address")), F.lit(', "url": "no"'))).when(i % 3 == 1, F.lit(', "token": null, "url": "no"')).otherwise(F.lit(""))
+    rows = m.select("mailbox_id", F.concat(F.lit("{"), name, value, F.lit("}")).alias("payload"))
+    return records.named_credentials(rows, "mailbox_id", "payload")

@@ -202,3 +202,37 @@ def test_streams(spark, tmp_path):
     q = first_runs(result_stream(spark, source)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.source_rel, r.file_hash) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "h1"), ("a", "h2")]
+
+
+def test_streams_of_pages_and_flags(spark, tmp_path):
+    from lexflow.streaming.updates import complete_documents, expired_flags, versions
+
+    rows = [("a", 1, True, "2024-01-01 00:00:00"), ("a", 1, True, "2024-01-01 00:00:05"), ("b", 2, True, "2024-01-01 00:00:00"), ("a", 3, True, "2024-01-01 00:00:09"), ("b", 4, False, "2024-01-01 00:01:00"), ("a", 9, True, "2024-01-03 00:00:00")]
+    source = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "sidecar_rel string, page_id long, ok boolean, t string").select("sidecar_rel", "page_id", "ok", F.to_timestamp("t").alias("at")).coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    totals = spark.createDataFrame([("a", 3), ("b", 2)], "sidecar_rel string, pages int")
+    done = complete_documents(stream(), totals).writeStream.format("memory").queryName("complete").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    done.awaitTermination(60)
+    assert [tuple(r) for r in spark.sql("select * from complete").collect()] == [("a", 3, 3)]
+    gone = expired_flags(stream(), "sidecar_rel", "at").writeStream.format("memory").queryName("expired").outputMode("append").option("checkpointLocation", str(tmp_path / "c4")).trigger(availableNow=True).start()
+    gone.awaitTermination(60)
+    assert {(r.sidecar_rel, r.n) for r in spark.sql("select * from expired").collect()} == {("a", 3), ("b", 2)}
+    assert versions(spark, str(tmp_path / "nowhere")) == []
+
+
+def test_checkpoint_folder_is_shared():
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from lexflow.runtime import checkpoint_dir
+
+    session = MagicMock()
+    session.conf.get = lambda k, default=None: None if k == "spark.checkpoint.dir" else "/tmp/w"
+    session.sparkContext.getConf.return_value = SimpleNamespace(get=lambda k: None)
+    session.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+    session.sparkContext.master = "local[4]"
+    assert checkpoint_dir(session) == "/tmp/w/_checkpoints"
+    session.sparkContext.master = "spark://host:7077"
+    with __import__("pytest").raises(ValueError):
+        checkpoint_dir(session)
