@@ -359,3 +359,22 @@ def pack_documents(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKE
     placed = pieces.join(broadcast_if_small(blocks, FEW), ["capacity_id", "length", "block"]).where("rank >= rank_from and rank < rank_to")
     container = F.col("first_container") + F.expr("(rank - rank_from) div each")
     return placed.select("capacity_id", container.alias("container_id"), "doc_id", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("from_token"), F.col("length").alias("n_tokens"))
+
+
+def packing_faults(docs: DataFrame, capacities: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``capacity_id``, ``documents``, ``lost``, ``wrongly_split``, ``torn``, ``overfull`` of the packing of ``docs``.
+
+    Counted anew from the packing and the texts' own sizes: documents placed, documents
+    without a place, those split although they fit, those whose pieces do not follow each
+    other to their size, and containers that hold more than the capacity.
+    """
+    packed = cut_lineage(pack_documents(docs, capacities, tokenizer))
+    caps = capacities.where("max_tokens >= 1 and capacity_id is not null").groupBy("capacity_id").agg(F.min("max_tokens").alias("capacity"))
+    own = packed.groupBy("capacity_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("from_token") + F.col("n_tokens")).alias("reach"), F.count_distinct("piece_no").alias("numbers"))
+    sized = own.join(token_counts(docs, tokenizer=tokenizer), "doc_id", "left").join(broadcast_if_small(caps, MOST_CAPACITIES), "capacity_id")
+    torn = (F.col("tokens") != F.col("n_tokens")) | (F.col("reach") != F.col("n_tokens")) | (F.col("numbers") != F.col("pieces")) | F.col("n_tokens").isNull()
+    by_doc = sized.groupBy("capacity_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("wrongly_split"), F.count_if(torn).alias("torn"))
+    loads = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("load")).join(broadcast_if_small(caps, MOST_CAPACITIES), "capacity_id")
+    over = loads.groupBy("capacity_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"))
+    counted = by_doc.join(over, "capacity_id")
+    return docs.sparkSession.sql("SELECT capacity_id, documents, (SELECT count(DISTINCT doc_id) FROM {docs}) - documents AS lost, wrongly_split, torn, overfull FROM {counted}", docs=docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), counted=counted)

@@ -131,6 +131,7 @@ _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _PREFIX = re.compile(r"^(?:\s*(?:[^\W\d_]{1,3}>|[>|]))+ ?")
 _ANY_DIGIT = re.compile(r"\d")
 _SAINT = re.compile(r"(?<!\w)(?:Sao|San|Santa|Santo|Saint|Sainte|St\.?|Sankt|S[^\x00-\x7f]{1,8}o)[ \n-]$", re.I)
+_AROUND = ".'’_-–—"
 _TOKEN = re.compile(r"[^ \t\r\n\x0b\x0c,;:<>()\"\[\]{}*!?|/=“”„«»¡¿]+")
 _GREETING = re.compile(r"^\s*(?:Hi|Hello|Hey|Dear|Good (?:morning|afternoon|evening|day))\b", re.I)
 # Given names that are also everyday words or months.
@@ -212,7 +213,7 @@ class Names:
             found = self._seen.get(paragraph)
             if found is None:
                 found = spans_of(paragraph, self)
-                if len(self._seen) >= 50_000:
+                if len(self._seen) >= 100_000:
                     self._seen.clear()
                 if len(paragraph) < 2_000:
                     self._seen[paragraph] = found
@@ -240,40 +241,52 @@ class Names:
         low = token.lower()
         return low in self.parts or ("-" in low and any(p in self.parts for p in low.split("-")))
 
+    def _any(self, text: str) -> bool:
+        """Whether a text has any known part at all; most paragraphs have none."""
+        tokens = [t.strip(_AROUND) for t in _TOKEN.findall(text.lower())]
+        if not self.parts.isdisjoint(tokens):
+            return True
+        return any(("-" in t and not self.parts.isdisjoint(t.split("-"))) or t[-2:] in ("’s", "'s") and t[:-2] in self.parts for t in tokens if not t.isalnum())
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Places of names: known parts with a capital, or two lower-case parts beside each other."""
-        found = []
-        last = None  # begin, end, lower, capital, ambiguous, taken
-        for m in _TOKEN.finditer(text):
-            raw = m[0]
-            token = raw.strip(".'’_-–—")
-            if len(token) < 2:
-                continue
-            low = token.lower()
-            if low not in self.parts and not ("-" in low and self.known(token)) and not (low.endswith(("’s", "'s")) and low[:-2] in self.parts and (low := low[:-2])):
-                last = None if len(token) > 2 or token[-1:].islower() else last
-                continue
-            begin = m.start() + raw.index(token)
-            end = begin + len(token)
-            capital = not token[0].islower() or not token[0].isascii()
-            doubtful = low in AMBIGUOUS or not capital
-            beside = last is not None and not text[last[1] : begin].strip(" ,.\n") [1:] and begin - last[1] <= 5
-            if _SAINT.search(text, max(0, begin - 12), begin):  # a place
+        found, at = [], 0
+        last = None  # begin, end, capital, taken
+        for line in text.split("\n"):
+            if self._any(line):
+                for m in _TOKEN.finditer(text, at, at + len(line)):
+                    raw = m[0]
+                    token = raw.strip(_AROUND)
+                    if len(token) < 2:
+                        continue
+                    low = token.lower()
+                    if low not in self.parts and not ("-" in low and self.known(token)) and not (low.endswith(("’s", "'s")) and low[:-2] in self.parts and (low := low[:-2])):
+                        last = None if len(token) > 2 or token[-1:].islower() else last
+                        continue
+                    begin = m.start() + raw.index(token)
+                    end = begin + len(token)
+                    capital = not token[0].islower() or not token[0].isascii()
+                    doubtful = low in AMBIGUOUS or not capital
+                    beside = last is not None and not text[last[1] : begin].strip(" ,.\n") [1:] and begin - last[1] <= 5
+                    if _SAINT.search(text, max(0, begin - 12), begin):  # a place
+                        last = None
+                        continue
+                    if beside and (capital or not last[2]):
+                        if not last[3]:
+                            found.append(last[:2])
+                        found.append((begin, end))
+                        taken = True
+                    elif doubtful and not self._alone(text, begin, end):
+                        taken = False
+                    elif not capital:
+                        taken = False
+                    else:
+                        found.append((begin, end))
+                        taken = True
+                    last = (begin, end, capital, taken)
+            elif line and not line.isspace():
                 last = None
-                continue
-            if beside and (capital or not last[2]):
-                if not last[3]:
-                    found.append(last[:2])
-                found.append((begin, end))
-                taken = True
-            elif doubtful and not self._alone(text, begin, end):
-                taken = False
-            elif not capital:
-                taken = False
-            else:
-                found.append((begin, end))
-                taken = True
-            last = (begin, end, capital, taken)
+            at += len(line) + 1
         return found
 
     @staticmethod

