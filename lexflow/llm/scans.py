@@ -41,9 +41,13 @@ FEW, FEW_PAGES = 500_000, 200_000  # narrow rows that are broadcast, and rows wi
 _PAIRS = [(a, b) for a, b in CONFUSIONS if len(a) == 2]
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "6": "b", "8": "b", "9": "g", "@": "a", "†": "t", "$": "s", "c": "e", "y": "v", "j": "l"})
 LONGEST_NUMBER = 30  # characters of a page number with all that belongs to it
+LONGEST_VALUE = 15  # digits of a stamp that its value keeps, further ones in front belong to its form
+_DIGITS = str.maketrans("oOlLiI|ıİ", "001111111")  # whatever [oOlI|] matches in either case
+_ROMAN = str.maketrans("ıİ", "ii")
 _NUMBER_WORD = re.compile(r"\d|^[ivxlcIVXLC]{1,8}$")
 _NUMBER = r"(?=[oOlI|]{0,5}\d)[\doOlI|]{1,6}"
 _PAGE = re.compile(rf"^(?:(?:page|seite|p\.|pg\.?|página|pág\.|стр\.|s\.|{'|'.join(['pagc', 'pa9e', 'pa9c'])}) ?({_NUMBER})(?: ?(?:of|von|de|sur|из|/) ?{_NUMBER})?|- ?({_NUMBER}) ?-|\[({_NUMBER})\]|({_NUMBER}) ?\||\| ?({_NUMBER})|({_NUMBER}) ?/ ?{_NUMBER}|({_NUMBER})|([ivxlc]{{1,8}})|[A-Z]{{2,6}}[-_ ]?[\dOolI|]{{5,}})$", re.I)
+_STAMP = r"[A-Za-z]{2,6}?(?=[-_ ]?[\dOolI|]{5,}$)"
 _WORDS = re.compile(r"(?:(?<!\S)[@!|†$](?=[^\W\d_]{2}))?[^\W_](?:[^\W_]|[@!|†$­¬]|(?<=\w)[-’'‐‑](?=\w))*", re.U)
 _PLAIN_WORDS = re.compile(r"[^\W_]+(?:[­¬]+[^\W_]*|[-’'‐‑](?=\w)[^\W_]*)*")
 _ODD = re.compile(r"[@!|†$]")
@@ -92,21 +96,22 @@ def roman(numeral: str) -> int:
 def page_number(line: str) -> tuple[bool, int | None, str]:
     """Whether the line is only a page number or stamp; its value; its form with ``#`` for the number.
 
-    Roman numerals count too; a stamp's value is its digits, its form has its letters.
+    Roman numerals count too; a stamp's value is its last digits, its form has its letters and digits beyond those.
     """
     text = line.strip()
     m = _PAGE.match(text) if len(text) <= LONGEST_NUMBER else None
     if not m:
         return False, None, ""
     if m[8]:
-        return True, roman(m[8].lower()), "roman"
+        return True, roman(m[8].translate(_ROMAN).lower()), "roman"
     digits = next((g for g in m.groups()[:7] if g), None)
     if digits:
         form = re.sub(_NUMBER, "#", text.lower())
     else:
-        letters = re.match(r"[A-Za-z]{2,6}?(?=[-_ ]?[\dOolI|]{5,}$)", text)[0]
-        digits, form = text[len(letters) :].strip("-_ "), letters.upper() + "#"
-    return True, int(re.sub("[liI|]", "1", re.sub("[oO]", "0", digits))), form
+        letters = (re.match(_STAMP, text) or re.match(_STAMP, text, re.I))[0]
+        digits = text[len(letters) :].strip("-_ ").translate(_DIGITS)
+        digits, form = digits[-LONGEST_VALUE:], letters.upper() + digits[:-LONGEST_VALUE] + "#"
+    return True, int(digits.translate(_DIGITS)), form
 
 
 def split_furniture(line: str) -> tuple[str, bool, int | None, str]:
@@ -234,7 +239,7 @@ def edge_furniture(edges: DataFrame) -> DataFrame:
     heads = named.join(good, ["sidecar_rel", "zone", "key"], "left").join(shapes, "shape", "left").where("repeats or numbered or formed")
     # headings of the text itself number its parts and stand at an edge by chance
     heads = heads.where(~F.col("shape").rlike(f"^({'|'.join(map(fuzzy_key, HEADINGS))}|#)( #)?$") | F.col("numbered"))
-    stamp = F.col("form").rlike("^[A-Z]+#$")
+    stamp = F.col("form").rlike("^[A-Z]+\\d*#$")
     numbers = edges.where("numbered and key = ''").select("page_id", "line_no", "sidecar_rel", F.when(stamp | (F.col("form") == "roman"), F.col("form")).otherwise("#").alias("series"), (F.col("number") - F.col("page_no")).alias("shift"), F.when(stamp, "stamp").otherwise(F.col("form")).alias("form"), (F.col("depth") == 0).alias("outer"))
     by_shift = numbers.groupBy("sidecar_rel", "series", "shift").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
     seen = Window.partitionBy("sidecar_rel", "series")

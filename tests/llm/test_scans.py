@@ -72,6 +72,16 @@ def test_number_forms():
     assert fuzzy_key("Anla9c K 25") == fuzzy_key("Anlage K 25") and fuzzy_key("Execiition c0py") == fuzzy_key("Execution copy")
 
 
+def test_numbers_of_capital_and_dotless_letters_and_long_stamps(spark):
+    for line, value in [("L2", 12), ("Page 1L", 11), ("4İ", 41), ("ı", 1), ("xıv", 14), ("NGCO07L227", 71227)]:
+        assert page_number(line)[:2] == (True, value), line
+    assert page_number("AB12345678901234567890123") == (True, 901234567890123, "AB12345678#")
+    pages = [(k, "a.md", k, "\n".join([f"So {NAMES[k]} began.", BODY, BODY, BODY, f"AB1234567890123456789012{k}" if k < 4 else f"Page L{k}"])) for k in range(1, 9)]
+    pages.append((9, "a.md", None, "\n".join(["So nobody began.", BODY, BODY, BODY, "L9"])))
+    got = {(r.page_id, r.line_no) for r in damage(*tables(spark, pages)).collect() if r.kind == "page_no"}
+    assert got == {(k, 5) for k in range(1, 9)}
+
+
 def test_tables(spark):
     t = [table(spark, "/root/testdata/sf0.01", n) for n in ("processing_results", "ocr_index", "sidecar_pages")]
     counts = {r.kind: r["count"] for r in damage(*t).groupBy("kind").count().collect()}
