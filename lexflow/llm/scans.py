@@ -32,8 +32,9 @@ SPECKS = "~_'°·•*^`¨´¦|\\"
 HEADINGS = "article section clause part chapter annex appendix schedule artikel abschnitt kapitel teil anhang chapitre partie artículo capítulo anexo sección artigo seção статья раздел глава".split()
 FREQUENT, TIMES = 6, 8  # a misread word's original has this many occurrences, and so many times its own
 
-ANCHOR = 6  # characters at either end of a header's key that lead to its near forms
-ERRORS_PER = 8  # characters of a key for each error that near forms may have, three at most
+SHORTEST = 6  # characters of a header's key that may have near forms
+ERRORS_PER, MOST_ERRORS = 8, 3  # characters of a key for each error that near forms may have, and the most errors
+MANY = 200  # keys at one edge of a sidecar from which they are compared by their pieces
 NO_SHIFT = -(1 << 62)  # of a line without a number or a page without one
 MOSTLY = 0.75  # share of a form's page numbers that advance with the pages, from which the others count too
 FEW, FEW_PAGES = 500_000, 200_000  # narrow rows that are broadcast, and rows with a page's furniture
@@ -208,21 +209,67 @@ def _pages(page: str = "page_id") -> Column:
     return F.when(F.min(page) == F.max(page), 1).otherwise(F.count("*"))
 
 
-def repeated_keys(named: DataFrame) -> DataFrame:
-    """``sidecar_rel``, ``zone``, ``key``: keys that stand at that edge on two pages of the sidecar, but for a few errors, or on three of another one.
+def errors_allowed(length: int) -> int:
+    """Errors that a near form of so many characters may have."""
+    return min(MOST_ERRORS, max(1, length // ERRORS_PER))
+
+
+def pieces(keys: pd.Series) -> pd.Series:
+    """A key's pieces, one more than the errors that a near form may have: of these at least one stands in it unchanged."""
+
+    def of(key: str) -> list[str]:
+        n = len(key)
+        errors = {errors_allowed(m) for m in range(n - MOST_ERRORS, n + MOST_ERRORS + 1) if abs(m - n) <= errors_allowed(m)}
+        return [f"{e} {n} {i} {key[i * n // (e + 1) : (i + 1) * n // (e + 1)]}" for e in errors for i in range(e + 1)]
+
+    return keys.map(of)
+
+
+def places(keys: pd.Series) -> pd.Series:
+    """What ``pieces`` of another key may stand in this one: piece i is moved by the errors before it at most, which are i or fewer wherever those after it are few enough."""
 
-    Keys that begin or end alike are compared with the most frequent of them only, where that
-    one repeats, by edit distance; so the work is linear in the keys.
+    def of(key: str) -> list[str]:
+        n, e, out = len(key), errors_allowed(len(key)), set()
+        for m in range(n - e, n + e + 1):  # length of the other key
+            for i in range(e + 1):
+                begin, end = i * m // (e + 1), (i + 1) * m // (e + 1)
+                for shift in range(max(-i, n - m - e + i), min(i, n - m + e - i) + 1):
+                    if 0 <= begin + shift and end + shift <= n:
+                        out.add(f"{e} {m} {i} {key[begin + shift : end + shift]}")
+        return sorted(out)
+
+    return keys.map(of)
+
+
+def near_keys(own: DataFrame) -> DataFrame:
+    """``sidecar_rel``, ``zone``, ``key``: keys of one page that stand on another page of the sidecar but for a few errors.
+
+    Every two keys of a place are compared by edit distance. Where a place has more than
+    ``MANY`` keys, only those that share a piece are; keys near to each other always do.
     """
-    own = cut_lineage(named.groupBy("sidecar_rel", "zone", "key").agg(_pages().alias("on_pages"), F.bool_or(F.col("shape").rlike("^# ")).alias("heading")))
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(ANCHOR))), F.concat(F.lit(">"), F.right("key", F.lit(ANCHOR)))))
-    anchored = own.where(~F.col("heading") & (F.length("key") >= ANCHOR)).withColumn("anchor", ends)
-    leaders = anchored.where("on_pages > 1").groupBy("sidecar_rel", "zone", "anchor").agg(F.max_by("key", F.struct("on_pages", "key")).alias("most"))
-    near = anchored.where("on_pages = 1").join(leaders, ["sidecar_rel", "zone", "anchor"])
-    near = near.where(F.levenshtein("key", "most", 3).between(0, F.greatest(F.lit(1), F.expr(f"length(key) div {ERRORS_PER}"))))
+    place = ["sidecar_rel", "zone"]
+    keys = own.where(~F.col("heading") & (F.length("key") >= SHORTEST))
+    ones = keys.where("on_pages = 1").select(*place, "key", "page")
+    others = keys.select(*place, F.col("key").alias("other"), F.when(F.col("on_pages") == 1, F.col("page")).alias("other_page"))
+    errors = F.least(F.lit(MOST_ERRORS), F.greatest(F.lit(1), F.expr(f"length(key) div {ERRORS_PER}")))
+    # compared in the join, so no pair is ever written
+    near = (F.col("key") != F.col("other")) & (F.col("other_page").isNull() | (F.col("page") != F.col("other_page"))) & (F.abs(F.length("key") - F.length("other")) <= errors) & F.levenshtein("key", "other", MOST_ERRORS).between(0, errors)
+    crowded = cut_lineage(keys.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(*place))
+    if crowded.isEmpty():
+        return ones.join(others, place).where(near).select(*place, "key").distinct()
+    crowded = broadcast_if_small(crowded, FEW)
+    found = ones.join(crowded, place, "left_anti").join(others, place).where(near).select(*place, "key")
+    cut = others.join(crowded, place, "left_semi").withColumn("piece", F.explode(F.pandas_udf(pieces, "array<string>")("other")))
+    put = ones.join(crowded, place, "left_semi").withColumn("piece", F.explode(F.pandas_udf(places, "array<string>")("key")))
+    return found.unionByName(put.join(cut, [*place, "piece"]).where(near).select(*place, "key")).distinct()
+
+
+def repeated_keys(named: DataFrame) -> DataFrame:
+    """``sidecar_rel``, ``zone``, ``key``: keys that stand at that edge on two pages of the sidecar, but for a few errors, or on three of another one."""
+    own = cut_lineage(named.groupBy("sidecar_rel", "zone", "key").agg(_pages().alias("on_pages"), F.min("page_id").alias("page"), F.bool_or(F.col("shape").rlike("^# ")).alias("heading")))
     often = own.where("on_pages >= 3").select("key").distinct()
-    kept = own.where("on_pages >= 2").unionByName(own.where("on_pages < 2").join(often, "key", "left_semi")).drop("on_pages", "heading")
-    return kept.unionByName(near.select("sidecar_rel", "zone", "key")).distinct()
+    kept = own.where("on_pages >= 2").unionByName(own.where("on_pages < 2").join(often, "key", "left_semi"))
+    return kept.select("sidecar_rel", "zone", "key").unionByName(near_keys(own)).distinct()
 
 
 def edge_furniture(edges: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
+import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lexflow.llm import scans
 from lexflow.llm.scans import damage, fuzzy_key, page_number, repaired_pages, split_furniture
 from lexflow.runtime import table
 
@@ -47,6 +50,43 @@ def test_furniture_of_three_and_four_lines(spark):
     assert got == {(k, n) for k in range(1, 9) for h in [3 + k % 2] for n in [*range(1, h + 1), *range(h + 5, h + 8)]}
 
 
+def near_pages():
+    heads = ["SHARE REGISTER OF KREDA AND PARTNERS"] * 4 + ["SHARE REGISTER BY MARLA AND PARTNERS"] * 3 + ["SHARE REGISTER BY MAXLA AND PARTNERS"]
+    feet = {1: ["Valuation of Raelkcourt"], 2: ["Valuatiom of Raelkcourt"], 3: ["Minutes of the Parmel board", "Mlnutes of the Parmek board"]}
+    return [(k, "a.md", k, "\n".join([heads[k - 1], f"Under the terms of {NAMES[k]} all of it stands.", BODY, BODY, f"So {NAMES[k]} ended it.", *feet.get(k, [])])) for k in range(1, 9)]
+
+
+@pytest.mark.parametrize("many", [scans.MANY, 0])
+def test_near_form_of_any_other_key_counts(spark, monkeypatch, many):
+    monkeypatch.setattr(scans, "MANY", many)
+    got = {(r.page_id, r.line_no) for r in damage(*tables(spark, near_pages())).collect() if r.kind == "header"}
+    assert got == {(k, 1) for k in range(1, 9)} | {(1, 6), (2, 6)}  # two near lines of one page are no repetition
+
+
+def test_near_keys_always_share_a_piece():
+    rng, near = random.Random(3), 0
+    for _ in range(4000):
+        key = "".join(rng.choices("abc", k=rng.choice([6, 7, 8, 15, 16, 23, 24, 25, 40])))
+        other = list(key)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        other = "".join(other)
+        if len(other) >= scans.SHORTEST and edits(key, other) <= scans.errors_allowed(len(key)):
+            near += 1
+            assert set(scans.places(pd.Series([key]))[0]) & set(scans.pieces(pd.Series([other]))[0]), (key, other)
+    assert near > 1000
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
 def test_repaired_text(spark):
     text = {r.page_id: r.text for r in repaired_pages(*tables(spark, sample())).collect()}
     assert text[2].endswith("It was executed by a third-party in 2017 with the quarterly statement as agreed") and text[2].startswith("Under the terms of bravo")
