@@ -80,3 +80,9 @@ def test_share_of_texts_that_come_back_whole():
         text = f"Plain.\n{bad}\nPlain."
         n, found, whole = n + 1, found + finder().garbled(text), whole + (finder().restored(text) == f"Plain.\n{sound}\nPlain.")
     assert found == n and whole >= 0.75 * n, (n, found, whole)
+
+
+def test_pair_of_few_spans_is_tried_beside_many_others():
+    stuck = " ".join(["a‰a中 a‡a中 a▀a中"] * 2)  # 39 pairs have spans here, and none can put them right
+    for garbled, sound in [("die Gebьhr", "die Gebühr"), ("seńor Muńoz", "señor Muñoz"), ("die GebЭhr", "die Gebühr")]:
+        assert finder().restored(f"{stuck}\n{garbled}") == f"{stuck}\n{sound}"
